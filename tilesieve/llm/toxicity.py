@@ -67,14 +67,14 @@ def features(words: set[str]) -> set[int]:
 
 
 def swaps(text: str, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[tuple[list[int], list[int]]]:
-    """For each sentence with a group's term and each other term of the kind: the features lost and won by the swap."""
+    """For each sentence with a group's term and each term of the kind that it doesn't have: the features lost and won by the swap."""
     kind = {t: k for k, group in enumerate(terms) for t in group}
     out = []
     for sentence in _SENTENCE.split(text.lower()):
         words = set(_WORD.findall(sentence))
         for term in sorted(words & kind.keys()):
             for other in terms[kind[term]]:
-                if other != term:
+                if other not in words:
                     before, after = features(words), features(words - {term} | {other})
                     out.append((sorted(before - after), sorted(after - before)))
     return out
@@ -177,6 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = got.sort_by("doc_id")
     values, ends = got["own"].combine_chunks().values.to_numpy(), got["own"].combine_chunks().offsets.to_numpy()
     data = [(y, values[a:b]) for y, a, b in zip(got["label"].to_pylist(), ends, ends[1:])]
+    if len({y for y, _ in data}) < 2:  # labels whose documents are missing
+        share = counts[1] / (counts[0] + counts[1])
+        return Model(math.log(share / (1 - share)))
     pairs = [(a, b) for lost, won in zip(got["lost"].to_pylist(), got["won"].to_pylist()) for a, b in zip(lost, won)]
     return fit(data, pairs, counts[1] / counts[0], **kw)
 
