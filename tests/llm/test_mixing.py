@@ -84,3 +84,14 @@ def test_edges(spark):
     assert got == {(None, 2, 2), (1, 0, 0), (2, 0, 0)}
     assert m.taken(df.limit(0)).count() == 0 and m.mix(df.limit(0)).count() == 0
     assert m.taken(df.where("doc_id = 1")).first().taken == 0
+
+
+def test_nearest_sums_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        have = rng.integers(1, 40, rng.integers(0, 8)).tolist()
+        want = int(rng.integers(0, 120))
+        sums = {sum(x for k, x in enumerate(have) if m >> k & 1) for m in range(1 << len(have))}
+        for below in (True, False):
+            got = sum(have[k] for k in m.nearest_sum(have, want, below))
+            assert got == max(x for x in sums if x <= want) if below else abs(got - want) == min(abs(x - want) for x in sums)

@@ -143,24 +143,46 @@ def plan(sources: list[Source], words: dict[tuple[int, int], int], shards: int,
     return whole, cut
 
 
+#: Documents of a part-taken block among which the nearest sum is searched.
+EXCHANGE = 48
+
+
+def nearest_sum(have: Sequence[int], want: int, below: bool) -> list[int]:
+    """Places of a subset of the positive sizes whose sum is nearest to want; below: not above it."""
+    reach = [1]  # bit n of an entry: n is a sum of the sizes so far
+    for n in have:
+        reach.append(reach[-1] | reach[-1] << n)
+    low = (reach[-1] & (2 << want) - 1).bit_length() - 1
+    above = reach[-1] >> want
+    best = low
+    if not below and above:
+        high = want + (above & -above).bit_length() - 1
+        best = high if high - want < want - low else low
+    out = []
+    for k in range(len(have) - 1, -1, -1):
+        if not reach[k] >> best & 1:  # not without this one
+            out.append(k)
+            best -= have[k]
+    return out[::-1]
+
+
 def _fill(pdf: pd.DataFrame, cut_last: bool) -> pd.DataFrame:
-    """Of a part-taken block: documents in permuted order while they fit, then a part of the next one if that may be cut."""
+    """Of a part-taken block: documents in permuted order while they fit, those at the end exchanged for the nearest sum, then a part of one more if that may be cut."""
     pdf = pdf[pdf["size"] > 0].sort_values(["perm", "doc_id", "row"], kind="stable")
     left = int(pdf["left"].iloc[0]) if len(pdf) else 0
-    take = np.zeros(len(pdf), dtype=np.int64)
     have = pdf["size"].to_numpy()
-    for i, n in enumerate(have):
-        if n <= left:
-            take[i] = n
-            left -= n
+    n = int(np.searchsorted(np.cumsum(have), left, side="right"))
+    take = np.where(np.arange(len(have)) < n, have, 0)
+    some = np.arange(max(0, n - EXCHANGE // 2), min(len(have), n + EXCHANGE // 2))
+    want = left - int(take.sum()) + int(take[some].sum())
+    take[some] = 0
+    chosen = some[nearest_sum(have[some].tolist(), want, below=cut_last)]
+    take[chosen] = have[chosen]
     rest = np.flatnonzero(take == 0)
-    if left and len(rest):
-        if cut_last:
-            take[rest[0]] = left
-        else:
-            nearest = rest[np.argmin(have[rest])]
-            if have[nearest] < 2 * left:
-                take[nearest] = have[nearest]
+    left -= int(take.sum())
+    if cut_last and left > 0 and len(rest):
+        k = rest[np.argmax(have[rest])]  # more than is left, else it had been taken whole
+        take[k] = min(left, have[k])
     return pd.DataFrame({"row": pdf["row"].to_numpy(), "part": take})[take > 0]
 
 
