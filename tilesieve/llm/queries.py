@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tilesieve.llm import license_index, media_chunks, mixing, packing, quality_qda, quality_rules, revisits, sentence_spans, simhash_pivots, toxicity
 from tilesieve.llm.common import table
+from tilesieve.llm.oracles import ORACLES
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -62,6 +65,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_chunks": op9_media_chunks,
     "op10_source_mixing": op10_source_mixing,
 }
-
-#: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
