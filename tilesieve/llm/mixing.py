@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from tilesieve.llm.common import cut_lineage, small
 
-#: A word, and the weights that sources take in turn.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Characters between words, and the weights that sources take in turn.
+BETWEEN = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 
 MAX_REPEATS = 3
@@ -91,7 +91,7 @@ def split(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
 def sizes(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with the columns of the mix in one struct `_mix`: size and source."""
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.withColumn("_mix", F.struct(F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(f"`{source_col}`").cast("string").alias("source")))
+    return docs.withColumn("_mix", F.struct(F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")).cast("long").alias("size"), F.col(f"`{source_col}`").cast("string").alias("source")))
 
 
 def catalogue(known: DataFrame, weights: Sequence[float], max_repeats: int, docs_per_block: int) -> list[Source]:
