@@ -81,6 +81,14 @@ def test_evolution_finds_what_best_fit_misses():
     assert p.lower_bound(np.array(lens), 1024) <= len(best) <= len(down)
 
 
+def test_best_fill_is_a_packing():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 7, 500):
+        lens = rng.integers(1, 101, n).tolist()
+        _valid(p.best_fill(lens, 100), lens, 100)
+    assert len(p.best_fill([60, 55, 45, 40], 100)) == 2
+
+
 def test_lower_bound_against_exhaustive():
     assert p.lower_bound(np.array([6, 6, 6]), 10) == 3
     assert p.lower_bound(np.array([5, 5, 5, 5]), 10) == 2

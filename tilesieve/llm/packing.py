@@ -33,7 +33,7 @@ from tilesieve.llm.common import cut_lineage, id_text_batches, with_id_and_text
 
 MAX_LENGTH = 1024
 END_ID = 2
-PROBLEM_PIECES = 2048
+PROBLEM_PIECES = 8192
 ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 6
@@ -126,6 +126,36 @@ def best_fit(items: Sequence[int], lens: Sequence[int], most: int, bins: Packing
     return bins
 
 
+def best_fill(lens: Sequence[int], most: int) -> Packing:
+    """Bin after bin: the longest piece left, then the pieces, looked up two ahead by length, that fill the rest best."""
+    count = np.bincount(np.asarray(lens, dtype=np.int64), minlength=most + 1)
+    by: dict[int, list[int]] = {}
+    for i in range(len(lens) - 1, -1, -1):
+        by.setdefault(lens[i], []).append(i)
+    bins: Packing = []
+    lengths = np.arange(most + 1)
+    for longest in range(most, 0, -1):
+        while count[longest]:
+            own, room, add = [], most, longest
+            while add:
+                own.append(by[add].pop())
+                count[add] -= 1
+                room -= add
+                # of each length, the longest that there is up to it
+                below = np.maximum.accumulate(np.where(count[: room + 1] > 0, lengths[: room + 1], 0))
+                add = int(below[room])
+                if add and add < room:
+                    one = np.flatnonzero(count[: room + 1])
+                    one = one[one > 0]
+                    two = below[room - one]
+                    two[(two == one) & (count[one] < 2)] = 0
+                    k = len(one) - 1 - int(np.argmax((one + two)[::-1]))
+                    if one[k] + two[k] > add:
+                        add = int(max(one[k], two[k]))
+            bins.append(own)
+    return bins
+
+
 def lower_bound(lens: np.ndarray, most: int) -> int:
     """The fewest bins that could do: by the sum, and by pieces that can't share a bin with one another."""
     best = -(-int(lens.sum()) // most)
@@ -167,7 +197,7 @@ def evolve(lens: Sequence[int], most: int, elites: list[Packing], seed: Sequence
     goal = lower_bound(np.asarray(lens, dtype=np.int64), most) if len(lens) else 0
     rng = np.random.default_rng(list(seed))
     down = sorted(range(len(lens)), key=lambda i: (-lens[i], i))
-    pool = [*elites] or [best_fit(down, lens, most)]
+    pool = [*elites] or [best_fit(down, lens, most), best_fill(lens, most)]
     scored = sorted(((fitness(p, lens, most), p) for p in pool), key=lambda x: x[0])
     if scored[0][0][0] <= goal:
         return scored[0][1]
