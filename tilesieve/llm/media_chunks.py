@@ -211,6 +211,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = stored.where(F.col("digest").isNotNull()).join(needing, "media_sha").select("media_sha", "digest", "chunk")
     gathered = fetched.unionByName(own).groupBy("media_sha").agg(F.collect_list(F.struct("digest", "chunk")).alias("chunks"))
     read = gathered.join(contents.select("media_sha", "digests"), "media_sha").select("media_sha", "digests", "chunks").mapInArrow(_read_back, READ)
-    found = done.unionByName(read).dropDuplicates(["media_sha"])
+    # repeated rows were written twice; only these need a shuffle of their own, so that the join below can split its hot contents
+    found = done.dropDuplicates(["media_sha"]).unionByName(read)
     out = listed.select("doc_id", "n_bytes", "media_sha").join(found, "media_sha")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha")).alias("media_sha256"), "feature")
