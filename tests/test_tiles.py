@@ -49,6 +49,17 @@ def test_intersections(other, hit):
     assert G.intersects(SQUARE, other) is hit and G.intersects(other, SQUARE) is hit
 
 
+def test_box_index_equals_scan():
+    rng = np.random.default_rng(3)
+    boxes = [None if k % 9 == 0 else (*(a := rng.integers(0, 50, 2).tolist()), a[0] + k % 7, a[1] + k % 5) for k in range(300)]
+    index = G.BoxIndex(boxes)
+    for _ in range(100):
+        x, y = rng.integers(0, 55, 2).tolist()
+        q = (x, y, x + 4, y + 3)
+        assert index.meeting(q) == [k for k, b in enumerate(boxes) if G.boxes_meet(b, q)]
+    assert G.BoxIndex([]).meeting((0, 0, 1, 1)) == []
+
+
 def test_projection_and_poles():
     g = G.to_tile(G.from_geojson(Q.WORLD), 3, 2, 5, 4096)
     assert np.isfinite(g.vertices()).all() and G.intersects(g, G.Geometry(points=np.array([[100.0, 100.0]])))

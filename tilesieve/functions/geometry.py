@@ -90,6 +90,26 @@ def boxes_meet(a: Box | None, b: Box | None) -> bool:
     return a is not None and b is not None and a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
 
 
+class BoxIndex:
+    """Boxes by number, sorted by their western edge; a search looks at those alone that begin early enough.
+
+    Empty geometries have no box and are never found.
+    """
+
+    def __init__(self, boxes: Sequence[Box | None]):
+        known = [(k, b) for k, b in enumerate(boxes) if b is not None]
+        order = sorted(known, key=lambda kb: kb[1][0])
+        self.numbers = np.array([k for k, _ in order], dtype=np.int64)
+        self.boxes = np.array([b for _, b in order], dtype=float).reshape(-1, 4)
+
+    def meeting(self, box: Box) -> list[int]:
+        """Numbers of the boxes that meet a box, borders included, in order."""
+        n = int(np.searchsorted(self.boxes[:, 0], box[2], side="right"))
+        b = self.boxes[:n]
+        hit = (b[:, 2] >= box[0]) & (b[:, 1] <= box[3]) & (b[:, 3] >= box[1])
+        return sorted(self.numbers[:n][hit].tolist())
+
+
 def tile_bounds(z: int, x: int, y: int) -> Box:
     """The tile's rectangle in degrees."""
     n = 2.0**z

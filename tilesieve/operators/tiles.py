@@ -51,10 +51,9 @@ def masks_of(layers: list[mvt.Layer], z: int, x: int, y: int, filters: FilterCol
     A filter counts for a tile if its mask meets the tile's rectangle in degrees, and for a layer if
     the projected mask's box meets the layer's square; then features are tested in tile coordinates.
     """
-    found = filters.filters if filters else ()
     bounds = tile_bounds(z, x, y)
     square = box_geometry(bounds)
-    near = [(k, f) for k, f in enumerate(found) if boxes_meet(f.geometry.box(), bounds) and intersects(f.geometry, square)]
+    near = [(k, filters.filters[k]) for k in filters.index.meeting(bounds) if intersects(filters.filters[k].geometry, square)] if filters else []
     projected: dict[int, list] = {}
     out = []
     for layer in layers:

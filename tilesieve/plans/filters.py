@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tilesieve.functions.geometry import Geometry, from_geojson
+from tilesieve.functions.geometry import BoxIndex, Geometry, from_geojson
 from tilesieve.plans.expressions import Context, Node, condition, parse
 
 #: Fixed value: the layer name that stands for every layer.
@@ -111,5 +112,10 @@ class FilterCollection:
                 out = where & rule if out is None else out | where & rule
         return F.lit(False) if out is None else out
 
+    @cached_property
+    def index(self) -> BoxIndex:
+        """The masks' boxes."""
+        return BoxIndex([f.geometry.box() for f in self.filters])
+
     def layers(self) -> Sequence[str]:
         return sorted({name for f in self.filters for name in f.layers})
