@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilesieve.llm.common import cut_lineage, id_text_batches, small, with_id_and_text
+from tilesieve.llm.common import cut_lineage, id_text_batches, with_id_and_text
 
 FRAME = 576
 PAD = b"\xff"
@@ -98,8 +98,11 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def assemble(order: list[bytes], store: dict[bytes, bytes], media_sha: bytes) -> bytes:
-    """The media file from its ordered chunk digests and the stored (compressed) chunks; both levels are verified."""
+def assemble(order: list[bytes], store: dict[bytes, bytes], key: bytes) -> tuple[bytes, bytes]:
+    """The media file, and its SHA-256, from its ordered chunk digests and the stored (compressed) chunks.
+
+    Each chunk is verified by its digest and the file by key, the first bytes of its own.
+    """
     read = zstandard.ZstdDecompressor()
     plain = {}
     for d in set(order):
@@ -107,111 +110,127 @@ def assemble(order: list[bytes], store: dict[bytes, bytes], media_sha: bytes) ->
         if digest(plain[d]) != d:
             raise ValueError("a stored chunk differs from its digest")
     media = b"".join(plain[d] for d in order)
-    if hashlib.sha256(media).digest() != media_sha:
+    sha = hashlib.sha256(media).digest()
+    if not sha.startswith(key):
         raise ValueError("the media differ from their digest")
-    return media
+    return media, sha
 
 
-def features(media: bytes, n_chunks: int) -> tuple[int, str, int, str]:
-    """payload_bytes, payload_sha256, tail_crc32 and feature, from the samples of a media file that was read back."""
+def features(media: bytes, n_chunks: int) -> tuple[int, bytes, int, str]:
+    """Length and SHA-256 of the payload, checksum of its tail, and features, from the samples of a media file that was read back."""
     samples = decode_media(media)
     x = np.frombuffer(samples, dtype=np.uint8).astype(np.int16) - 128
     crossings = int((np.signbit(x[1:]) != np.signbit(x[:-1])).sum())
     told = f"chunks={n_chunks};mean={x.mean():.4f};peak={int(np.abs(x).max())};crossings={crossings}"
-    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), told
+    return len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-32:]), told
+
+
+#: Contents are told apart by so many first bytes of their media file's SHA-256 while they are on their way.
+KEY_BYTES = 16
+DIGEST_BYTES = 16
+
+MANIFEST = "doc_id long, n_bytes long, key binary, digests binary"
+READ = "key binary, media_bytes long, media_sha binary, payload_bytes long, payload_sha binary, tail_crc32 long, feature string"
+STORED = f"{READ}, digest binary, chunk binary, shared boolean, digests binary"
+
+_KINDS = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-MANIFEST = "doc_id long, n_bytes long, media_sha binary, digests array<binary>"
-READ = "media_sha binary, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(cols, kinds)], names=list(names))
 
 
 def manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each document: its length, its media file's digest and the ordered digests of its chunks."""
+    """Of each document: its length, its content's key and the ordered digests of its chunks, joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in id_text_batches(batches):
             media = [encode_media(payload_of(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(m).digest() for m in media], pa.binary()), pa.array([[digest(c) for c in chunks_of(m)] for m in media], pa.list_(pa.binary()))],
-                names=["doc_id", "n_bytes", "media_sha", "digests"],
-            )
+            yield _batch([(i, len(t), hashlib.sha256(m).digest()[:KEY_BYTES], b"".join(map(digest, chunks_of(m)))) for i, t, m in zip(ids.to_pylist(), texts, media)], MANIFEST)
 
     return with_id_and_text(docs, id_col, text_col).mapInArrow(run, MANIFEST)
 
 
 def _bytes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, media_sha, packed): texts compressed, as they may have to move."""
+    """(doc_id, own_key, packed): texts compressed, as they have to move once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for ids, texts in id_text_batches(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([hashlib.sha256(encode_media(payload_of(t))).digest() for t in texts], pa.binary()), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["doc_id", "media_sha", "packed"])
+            yield _batch([(i, hashlib.sha256(encode_media(payload_of(t))).digest()[:KEY_BYTES], pack.compress(t)) for i, t in zip(ids.to_pylist(), texts)], "doc_id long, own_key binary, packed binary")
 
-    return docs.mapInArrow(run, "doc_id long, media_sha binary, packed binary")
+    return docs.mapInArrow(run, "doc_id long, own_key binary, packed binary")
 
 
-def _read(order: list[bytes], store: dict[bytes, bytes], sha: bytes) -> tuple:
-    media = assemble(order, store, sha)
-    return (sha, len(media), *features(media, len(order)))
+def _read(order: list[bytes], store: dict[bytes, bytes], key: bytes) -> tuple:
+    """The columns of READ for a content that is put together from its chunks."""
+    media, sha = assemble(order, store, key)
+    n, payload_sha, tail, feature = features(media, len(order))
+    return key, len(media), sha, n, payload_sha, tail, feature
 
 
 def _write_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(media_sha, packed, refs, exports) to rows of the store, or to what was read back where nothing else is needed.
+    """(key, packed, refs, exports) to rows of STORED.
 
-    A row has `digest` and `chunk` for a chunk of the store, and the columns of READ for a content that
-    was read back. Of a content with references only its own chunks are stored here; `shared` marks
-    chunks that others refer to.
+    A content without references is read back from its own chunks at once: a row with the columns of
+    READ. Of one with references, its own chunks are rows with digest and chunk, and its order a row
+    with digests. Chunks that others refer to are rows marked as shared.
     """
     unpack, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-    kinds = [pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-    names = ["media_sha", "digest", "chunk", "shared", "media_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+    nothing = (None,) * 6
     for batch in batches:
         rows: list[tuple] = []
-        for sha, packed, refs, exports in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for key, packed, refs, exports in zip(*(batch.column(k).to_pylist() for k in range(4))):
             parts = chunks_of(encode_media(payload_of(unpack.decompress(packed))))
             order = [digest(c) for c in parts]
             away, out = set(refs or ()), set(exports or ())
-            store = {d: squeeze.compress(c) for d, c in dict(zip(order, parts)).items() if d not in away}
-            if not away:
-                read = _read(order, store, sha)
-                rows.append((sha, None, None, None, *read[1:]))
-            rows += [(sha, d, c, d in out, None, None, None, None, None) for d, c in store.items() if away or d in out]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
+            store = {d: squeeze.compress(c) for d, c in zip(order, parts) if d not in away}
+            if away:
+                rows.append((key, *nothing, None, None, None, b"".join(order)))
+            else:
+                rows.append((*_read(order, store, key), None, None, None, None))
+            rows += [(key, *nothing, d, c, d in out, None) for d, c in store.items() if away or d in out]
+        yield _batch(rows, STORED)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(media_sha, digests, chunks) to READ."""
+    """(key, digests, chunks) to READ."""
     for batch in batches:
-        rows = [_read(order, {c["digest"]: c["chunk"] for c in chunks}, sha) for sha, order, chunks in zip(*(batch.column(k).to_pylist() for k in range(3)))]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=[x.split()[0] for x in READ.split(", ")])
+        rows = []
+        for key, order, chunks in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            listed = [order[k : k + DIGEST_BYTES] for k in range(0, len(order), DIGEST_BYTES)]
+            rows.append(_read(listed, {c["digest"]: c["chunk"] for c in chunks}, key))
+        yield _batch(rows, READ)
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature."""
     listed = cut_lineage(manifest(docs, id_col, text_col))
-    contents = listed.groupBy("media_sha").agg(F.min("doc_id").alias("owner"), F.first("digests").alias("digests"))
+    contents = listed.groupBy("key").agg(F.first("digests").alias("digests"))
     # each content's distinct chunks; a digest that several contents hold is shared
-    parts = contents.select("media_sha", "owner", F.explode(F.array_distinct("digests")).alias("digest"))
-    homes = parts.groupBy("digest").agg(F.min("media_sha").alias("home"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    held = parts.join(homes, "digest").withColumn("away", F.col("media_sha") != F.col("home"))
-    plan = cut_lineage(held.groupBy("media_sha").agg(F.collect_list(F.when(F.col("away"), F.col("digest"))).alias("refs"), F.collect_list(F.when(~F.col("away"), F.col("digest"))).alias("exports")))
-    refs = plan.select("media_sha", F.explode("refs").alias("digest"))
-
-    owners = contents.select("media_sha", "owner").join(plan, "media_sha", "left")
-    texts = _bytes_of(with_id_and_text(docs, id_col, text_col)).withColumnRenamed("media_sha", "sha")
-    # one copy of each content is written: its owner's (all rows of an id that has several contents are told apart by the digest)
-    written = texts.join(owners, (F.col("sha") == F.col("media_sha")) & F.col("doc_id").eqNullSafe(F.col("owner")))
-    stored = cut_lineage(written.select("media_sha", "packed", "refs", "exports").mapInArrow(_write_chunks, "media_sha binary, digest binary, chunk binary, shared boolean, " + READ.split(", ", 1)[1]))
-
-    done = stored.where(F.col("digest").isNull()).drop("digest", "chunk", "shared")
+    starts = F.sequence(F.lit(1), F.length("digests"), F.lit(DIGEST_BYTES))
+    parts = contents.select("key", F.explode(F.array_distinct(F.transform(starts, lambda k: F.substring("digests", k, F.lit(DIGEST_BYTES))))).alias("digest"))
+    homes = parts.groupBy("digest").agg(F.min("key").alias("home"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    held = parts.join(homes, "digest").withColumn("away", F.col("key") != F.col("home"))
+    plan = cut_lineage(held.groupBy("key").agg(F.collect_list(F.when(F.col("away"), F.col("digest"))).alias("refs"), F.collect_list(F.when(~F.col("away"), F.col("digest"))).alias("exports")))
+
+    owners = listed.groupBy("key").agg(F.min("doc_id").alias("owner")).join(plan, "key", "left")
+    texts = _bytes_of(with_id_and_text(docs, id_col, text_col))
+    # one copy of each content is written: its owner's (all rows of an id that has several contents are told apart by the key)
+    written = texts.join(owners, (F.col("own_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("owner")))
+    stored = cut_lineage(written.select("key", "packed", "refs", "exports").mapInArrow(_write_chunks, STORED))
+
+    read_columns = [x.split()[0] for x in READ.split(", ")]
+    done = stored.where(F.col("media_sha").isNotNull()).select(read_columns)
+    order = stored.where(F.col("digests").isNotNull()).select("key", "digests").dropDuplicates(["key"])
     exported = stored.where("shared").groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    fetched = refs.join(exported, "digest").select("media_sha", "digest", "chunk")
-    needing = plan.where(F.size("refs") > 0).select("media_sha")
-    own = stored.where(F.col("digest").isNotNull()).join(needing, "media_sha").select("media_sha", "digest", "chunk")
-    gathered = fetched.unionByName(own).groupBy("media_sha").agg(F.collect_list(F.struct("digest", "chunk")).alias("chunks"))
-    read = gathered.join(contents.select("media_sha", "digests"), "media_sha").select("media_sha", "digests", "chunks").mapInArrow(_read_back, READ)
+    fetched = plan.select("key", F.explode("refs").alias("digest")).join(exported, "digest").select("key", "digest", "chunk")
+    own = stored.where(F.col("digest").isNotNull()).select("key", "digest", "chunk").join(order.select("key"), "key", "left_semi")
+    gathered = fetched.unionByName(own).groupBy("key").agg(F.collect_list(F.struct("digest", "chunk")).alias("chunks"))
+    read = order.join(gathered, "key").select("key", "digests", "chunks").mapInArrow(_read_back, READ)
     # repeated rows were written twice; only these need a shuffle of their own, so that the join below can split its hot contents
-    found = done.dropDuplicates(["media_sha"]).unionByName(read)
-    out = listed.select("doc_id", "n_bytes", "media_sha").join(found, "media_sha")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha")).alias("media_sha256"), "feature")
+    found = done.dropDuplicates(["key"]).unionByName(read)
+    out = listed.select("doc_id", "n_bytes", "key").join(found, "key")
+    return out.select("doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_sha")).alias("payload_sha256"), "tail_crc32", "media_bytes", F.lower(F.hex("media_sha")).alias("media_sha256"), "feature")
