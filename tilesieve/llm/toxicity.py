@@ -53,7 +53,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 DIMENSIONS = 1 << 22
-BEGINNING = 5
+BEGINNINGS = (4, 5)
 
 
 def features(words: set[str]) -> set[int]:
@@ -61,8 +61,9 @@ def features(words: set[str]) -> set[int]:
     out = set()
     for w in words:
         out.add(xxhash.xxh3_64_intdigest(w) % DIMENSIONS)
-        if len(w) > BEGINNING:
-            out.add(xxhash.xxh3_64_intdigest("^" + w[:BEGINNING]) % DIMENSIONS)
+        for n in BEGINNINGS:
+            if len(w) > n:
+                out.add(xxhash.xxh3_64_intdigest("^" + w[:n]) % DIMENSIONS)
     return out
 
 
@@ -95,22 +96,30 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit(rows: Sequence[tuple[int, Sequence[int]]], pairs: Sequence[tuple[Sequence[int], Sequence[int]]], odds: float, l1: float = 3e-4, counterfactual: float = 1.0, steps: int = 300, least: int = 3) -> Model:
+def fit(rows: Sequence[tuple[int, Sequence[int]]], pairs: Sequence[tuple[Sequence[int], Sequence[int]]], odds: float, l1: float = 1e-3, counterfactual: float = 1.0, steps: int = 400, least: int = 3, apart: float = 2.5) -> Model:
     """rows (label, features), pairs of swapped features, odds of label 1 among all labels.
 
     counterfactual weighs the mean squared change of the logit over the swaps. Features that fewer
-    than `least` rows have get no weight.
+    than `least` rows have, or whose shares in the classes differ by less than `apart` standard
+    errors, get no weight. The others are scaled by their deviation, so that rare ones count.
     """
     y = np.array([r[0] for r in rows], dtype=float)
     lens = np.array([len(r[1]) for r in rows])
     flat = np.concatenate([np.asarray(r[1], dtype=np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
     names, index, times = np.unique(flat, return_inverse=True, return_counts=True)
-    ok = times >= least
+    row_of = np.repeat(np.arange(len(rows)), lens)
+    pos = max(1, int(y.sum()))
+    neg = max(1, len(rows) - int(y.sum()))
+    in_pos = np.bincount(index, y[row_of], len(names))
+    share = times / max(1, len(rows))
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / pos + 1 / neg))
+    ok = (times >= least) & (np.abs(in_pos / pos - (times - in_pos) / neg) >= apart * error)
     new = np.cumsum(ok) - 1
     keep = ok[index]
-    row_of = np.repeat(np.arange(len(rows)), lens)[keep]
+    row_of = row_of[keep]
     col = new[index[keep]]
     names = names[ok]
+    scale = 1 / np.sqrt(np.maximum(share * (1 - share), 1 / max(1, len(rows))))[ok]
     k, n = len(names), len(rows)
     place = dict(zip(names.tolist(), range(k)))
     d_row, d_col, d_val = [], [], []
@@ -120,17 +129,16 @@ def fit(rows: Sequence[tuple[int, Sequence[int]]], pairs: Sequence[tuple[Sequenc
                 if f in place:
                     d_row.append(i)
                     d_col.append(place[f])
-                    d_val.append(v)
+                    d_val.append(v * scale[place[f]])
     d_row, d_col, d_val = np.array(d_row, dtype=np.int64), np.array(d_col, dtype=np.int64), np.array(d_val)
     m = max(1, len(pairs))
-    pos = max(1, int(y.sum()))
-    neg = max(1, n - int(y.sum()))
+    x = scale[col]
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)  # classes count alike; the odds come back below
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-        z = np.bincount(row_of, w[col], n) + b
+        z = np.bincount(row_of, x * w[col], n) + b
         r = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        g = np.bincount(col, r[row_of], k)
+        g = np.bincount(col, x * r[row_of], k)
         if len(d_row):
             change = np.bincount(d_row, d_val * w[d_col], m)
             g += counterfactual / m * np.bincount(d_col, d_val * change[d_row], k)
@@ -139,8 +147,8 @@ def fit(rows: Sequence[tuple[int, Sequence[int]]], pairs: Sequence[tuple[Sequenc
     # a bound on the curvature by power iteration, so that steps are safe
     v = np.ones(k + 1)
     for _ in range(12):
-        z = np.bincount(row_of, v[:k][col], n) + v[k]
-        u = np.append(np.bincount(col, (0.25 * weight * z)[row_of], k), (0.25 * weight * z).sum())
+        z = np.bincount(row_of, x * v[:k][col], n) + v[k]
+        u = np.append(np.bincount(col, x * (0.25 * weight * z)[row_of], k), (0.25 * weight * z).sum())
         if len(d_row):
             u[:k] += counterfactual / m * np.bincount(d_col, d_val * np.bincount(d_row, d_val * v[:k][d_col], m)[d_row], k)
         size = float(np.linalg.norm(u)) or 1.0
@@ -157,7 +165,7 @@ def fit(rows: Sequence[tuple[int, Sequence[int]]], pairs: Sequence[tuple[Sequenc
         pw, pb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
     used = np.flatnonzero(w)
-    return Model(b + math.log(odds), dict(zip(names[used].tolist(), w[used].tolist())))
+    return Model(b + math.log(odds), dict(zip(names[used].tolist(), (w * scale)[used].tolist())))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = labelled.SAMPLE_ROWS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, **kw) -> Model:
