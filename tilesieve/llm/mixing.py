@@ -41,7 +41,9 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 DOCS_PER_BLOCK = 256
 MAX_BLOCKS = 65_536
-SHARDS = 64
+
+#: Words of an output shard, which one task shuffles locally; there are as many shards as that takes, and at most one for each block.
+SHARD_WORDS = 200_000
 
 
 @dataclass
@@ -106,6 +108,11 @@ def catalogue(known: DataFrame, weights: Sequence[float], max_repeats: int, docs
     return found
 
 
+def shard_count(sources: list[Source]) -> int:
+    """Output shards of a mix of this size."""
+    return max(1, min(MAX_BLOCKS, -(-sum(s.words for s in sources) // SHARD_WORDS)))
+
+
 def _order(*parts: object) -> bytes:
     return hashlib.blake2b(repr(parts).encode(), digest_size=8).digest()
 
@@ -186,7 +193,7 @@ def _fill(pdf: pd.DataFrame, cut_last: bool) -> pd.DataFrame:
     return pd.DataFrame({"row": pdf["row"].to_numpy(), "part": take})[take > 0]
 
 
-def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, shards: int = SHARDS, docs_per_block: int = DOCS_PER_BLOCK, seed: int = 17, cut_last: bool = True) -> DataFrame:
+def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, shards: int | None = None, docs_per_block: int = DOCS_PER_BLOCK, seed: int = 17, cut_last: bool = True) -> DataFrame:
     """Per row of docs: doc_id, row, size, rank, source_size, target, draws array<struct<epoch, shard, words>>.
 
     row numbers the rows of docs in the order Spark reads them. cut_last: at most one document of
@@ -200,7 +207,7 @@ def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     # one row for each source: the catalogue is on the driver already
     blocked = known.join(small(listed, len(sources)), F.col("source").eqNullSafe(F.col("name"))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
     words = {(r["rank"], r["block"]): r["words"] for r in blocked.groupBy("rank", "block").agg(F.sum("size").alias("words")).collect()}
-    whole, cut = plan(sources, words, shards, seed)
+    whole, cut = plan(sources, words, shards or shard_count(sources), seed)
     taken = pd.DataFrame(whole, columns=["rank", "block", "epoch", "shard"])
     grouped = [(int(r), int(b), [(int(e), int(s)) for e, s in zip(g["epoch"], g["shard"])]) for (r, b), g in taken.groupby(["rank", "block"])]
     units = spark.createDataFrame(grouped, "rank int, block int, units array<struct<epoch:int,shard:int>>")
@@ -226,11 +233,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Documents are taken whole: each source's words come as near to its target as whole documents allow.
     Ids must be distinct; rows that share one are drawn as often as the first of them.
     """
-    shards, seed = kw.get("shards", SHARDS), kw.get("seed", 17)
+    seed = kw.get("seed", 17)
     found = draws(docs, id_col, source_col, text_col, cut_last=False, **{k: v for k, v in kw.items() if k != "cut_last"})
     unit = found.groupBy("doc_id").agg(F.min_by("draws", "row").alias("_draws")).where(F.size("_draws") > 0).withColumnRenamed("doc_id", "_id")
     rows = docs.join(unit, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id"))).withColumn("_unit", F.explode("_draws"))
-    dealt = rows.repartition(shards, F.col("_unit.shard"))
+    dealt = rows.repartition(F.col("_unit.shard"))
     return dealt.sortWithinPartitions(F.col("_unit.shard"), F.xxhash64("_id", F.col("_unit.epoch"), F.lit(seed + 2))).select(*(f"`{c}`" for c in docs.columns))
 
 
