@@ -53,3 +53,28 @@ def test_edges(spark):
     rows = li.scan(df).collect()
     assert len(rows) == 4 and sum(r.labels == "mit" for r in rows) == 3
     assert li.scan(df.limit(0)).count() == 0
+
+
+def test_equals_sql_where_templates_are_found(spark):
+    import random
+
+    import duckdb
+    import pandas as pd
+    import pytest
+
+    from tilesieve.llm.oracles import license_sql
+
+    rng = random.Random(3)
+    filler = "the of and to a in is it you that he was for on are with as his they be at one have this from".split()
+    texts = [None, "", "MIT license and apache LICENSE; mit license"]
+    for label, (t, _) in li.TEMPLATES.items():
+        words = t.split()
+        texts += [" ".join([*rng.choices(filler, k=20), *words, *rng.choices(filler, k=20)]).title(), " ".join(words[: len(words) // 2]), " ".join(w for w in words if rng.random() < 0.8), " ".join(rng.sample(words, len(words)))]
+    pdf = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", pdf)
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score FROM ({license_sql()})").fetchall()}
+    got = {r.doc_id: tuple(r)[1:] for r in li.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: r[:-1] for i, r in got.items()} == {i: r[:-1] for i, r in want.items()}
+    assert [got[i][-1] for i in sorted(got)] == pytest.approx([want[i][-1] for i in sorted(got)])
+    assert sum(bool(r[5]) for r in got.values()) >= len(li.TEMPLATES)
