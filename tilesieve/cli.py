@@ -34,7 +34,7 @@ def convert(spark: SparkSession, source: str, target: str, filters: str | None =
         raise pmtiles.ArchiveError(f"Unsupported tile compression {header.tile_compression}")
     metadata = apply_overrides(pmtiles.read_metadata(source), name, description, attribution)
     tiles = pmtiles.read_archive(spark, source)
-    pmtiles.write_archive(filter_tiles(tiles, rules), target, header, metadata)
+    pmtiles.write_archive(filter_tiles(tiles, rules), target, header, metadata, ordered=True)
     return sum(e.run_length for e in pmtiles.read_entries(target))
 
 

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilesieve.functions.geometry import box_geometry, boxes_meet, intersects, tile_bounds, to_tile
-from tilesieve.functions.values import MVT_VALUE
+from tilesieve.functions.values import MVT_VALUE, SLOTS
 from tilesieve.plans.expressions import Context
 from tilesieve.plans.filters import Filter, FilterCollection
 from tilesieve.sources import mvt
@@ -23,11 +24,11 @@ from tilesieve.sources import mvt
 #: Geometry types as filters name them.
 KINDS = {mvt.POINT: "Point", mvt.LINESTRING: "LineString", mvt.POLYGON: "Polygon"}
 
-FEATURE = f"struct<id:decimal(20,0),kind:int,geometry:array<bigint>,tags:array<struct<key:string,value:{MVT_VALUE}>>,masks:array<int>>"
+FEATURE = f"struct<id:decimal(20,0),kind:int,geometry:array<bigint>,tags:map<string,{MVT_VALUE}>,masks:array<int>>"
 LAYERS = f"array<struct<name:string,version:int,extent:int,features:array<{FEATURE}>>>"
 
 _VALUE = pa.struct([("string_value", pa.string()), ("float_value", pa.float32()), ("double_value", pa.float64()), ("int_value", pa.int64()), ("uint_value", pa.decimal128(20, 0)), ("sint_value", pa.int64()), ("bool_value", pa.bool_())])
-_FEATURE = pa.struct([("id", pa.decimal128(20, 0)), ("kind", pa.int32()), ("geometry", pa.list_(pa.int64())), ("tags", pa.list_(pa.struct([("key", pa.string()), ("value", _VALUE)]))), ("masks", pa.list_(pa.int32()))])
+_FEATURE = pa.struct([("id", pa.decimal128(20, 0)), ("kind", pa.int32()), ("geometry", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), _VALUE)), ("masks", pa.list_(pa.int32()))])
 _LAYERS = pa.list_(pa.struct([("name", pa.string()), ("version", pa.int32()), ("extent", pa.int32()), ("features", pa.list_(_FEATURE))]))
 
 
@@ -38,11 +39,31 @@ def _to_row(tag: mvt.Tag | None) -> dict:
     return {slot: Decimal(v) if slot == "uint_value" else v}
 
 
-def _from_row(value: dict | None) -> mvt.Tag | None:
-    for slot, v in (value or {}).items():
-        if v is not None:
-            return slot, int(v) if slot == "uint_value" else v
-    return None
+def _parts(array: pa.ListArray | pa.MapArray) -> list[int]:
+    """The bounds of a list array's entries in its values."""
+    return array.offsets.to_numpy().tolist()
+
+
+def _layers_of(column: pa.ListArray) -> list[list[mvt.Layer]]:
+    """The layers of each tile of a LAYERS column, read column by column: nested rows would cost several times as much."""
+    layers = column.values
+    features = layers.field("features")
+    rows = features.values
+    tags, shapes = rows.field("tags"), rows.field("geometry")
+    keys, values = tags.keys.to_pylist(), tags.items
+    found: list[mvt.Tag | None] = [None] * len(keys)
+    for slot in SLOTS:
+        child = values.field(slot)
+        for i, v in zip(np.flatnonzero(child.is_valid().to_numpy(zero_copy_only=False)).tolist(), child.drop_null().to_pylist()):
+            if found[i] is None:
+                found[i] = slot, int(v) if slot == "uint_value" else v
+    at, numbers, to = _parts(tags), shapes.values.to_pylist(), _parts(shapes)
+    ids = [None if i is None else int(i) for i in rows.field("id").to_pylist()]
+    listed = [mvt.Feature(dict(zip(keys[at[k] : at[k + 1]], found[at[k] : at[k + 1]])), kind, numbers[to[k] : to[k + 1]], ids[k]) for k, kind in enumerate(rows.field("kind").to_pylist())]
+    own = _parts(features)
+    made = [mvt.Layer(name, listed[own[k] : own[k + 1]], extent, version) for k, (name, version, extent) in enumerate(zip(*(layers.field(c).to_pylist() for c in ("name", "version", "extent"))))]
+    tiles = _parts(column)
+    return [made[a:b] for a, b in zip(tiles, tiles[1:])]
 
 
 def masks_of(layers: list[mvt.Layer], z: int, x: int, y: int, filters: FilterCollection | None) -> list[list[list[int]]]:
@@ -86,7 +107,7 @@ def decode_tiles(tiles: DataFrame, filters: FilterCollection | None = None) -> D
                             "version": layer.version,
                             "extent": layer.extent,
                             "features": [
-                                {"id": None if f.id is None else Decimal(f.id), "kind": f.kind, "geometry": f.geometry, "tags": [{"key": k, "value": _to_row(v)} for k, v in f.tags.items()], "masks": m}
+                                {"id": None if f.id is None else Decimal(f.id), "kind": f.kind, "geometry": f.geometry, "tags": [(k, _to_row(v)) for k, v in f.tags.items()], "masks": m}
                                 for f, m in zip(layer.features, hits)
                             ],
                         }
@@ -104,7 +125,7 @@ def filter_layers(layers: Column, filters: FilterCollection) -> Column:
     def kept(layer: Column) -> Column:
         def context(f: Column, key: Column | None = None) -> Context:
             kind = F.when(f["kind"] == mvt.POINT, "Point").when(f["kind"] == mvt.LINESTRING, "LineString").when(f["kind"] == mvt.POLYGON, "Polygon").otherwise("Unknown")
-            return Context.of_map(F.map_from_entries(f["tags"]), key, kind)
+            return Context.of_map(f["tags"], key, kind)
 
         def within(f: Column):
             def test(k: int, _: Filter) -> Column:
@@ -113,7 +134,7 @@ def filter_layers(layers: Column, filters: FilterCollection) -> Column:
             return test
 
         stay = F.filter(layer["features"], lambda f: ~filters.drop_feature(layer["name"], context(f), within(f)))
-        return F.transform(stay, lambda f: f.withField("tags", F.filter(f["tags"], lambda t: ~filters.drop_tag(layer["name"], context(f, t["key"]), within(f)))))
+        return F.transform(stay, lambda f: f.withField("tags", F.map_filter(f["tags"], lambda k, _: ~filters.drop_tag(layer["name"], context(f, k), within(f)))))
 
     return F.transform(layers, lambda layer: layer.withField("features", kept(layer)))
 
@@ -123,9 +144,7 @@ def encode_tiles(tiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for layers in batch.column(4).to_pylist():
-                out.append(mvt.encode([mvt.Layer(la["name"], [mvt.Feature({t["key"]: _from_row(t["value"]) for t in f["tags"]}, f["kind"], f["geometry"], None if f["id"] is None else int(f["id"])) for f in la["features"]], la["extent"], la["version"]) for la in layers]))
+            out = [mvt.encode(layers) for layers in _layers_of(batch.column(4))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(out, pa.binary())], names=["tile_id", "z", "x", "y", "data"])
 
     return tiles.select("tile_id", "z", "x", "y", "layers").mapInArrow(run, "tile_id long, z int, x int, y int, data binary")
@@ -144,7 +163,7 @@ def features(decoded: DataFrame) -> DataFrame:
     rows = decoded.select("tile_id", "z", "x", "y", F.posexplode("layers").alias("layer_no", "_l"))
     rows = rows.select("tile_id", "z", "x", "y", "layer_no", F.col("_l.name").alias("layer"), F.coalesce("_l.extent", F.lit(mvt.EXTENT)).alias("extent"), F.posexplode("_l.features").alias("feature_no", "_f"))
     kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in KINDS.items() for v in pair)), F.col("_f.kind")), F.lit("Unknown"))
-    return rows.select("tile_id", "z", "x", "y", "layer_no", "layer", "extent", "feature_no", "_f.id", kind.alias("geometry_type"), "_f.geometry", F.map_from_entries("_f.tags").alias("tags"), "_f.masks")
+    return rows.select("tile_id", "z", "x", "y", "layer_no", "layer", "extent", "feature_no", "_f.id", kind.alias("geometry_type"), "_f.geometry", F.col("_f.tags").alias("tags"), "_f.masks")
 
 
 def repack(df: DataFrame) -> DataFrame:

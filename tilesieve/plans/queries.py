@@ -274,12 +274,12 @@ def event_tiles(spark: SparkSession, sf_dir: str, z: int = 4) -> DataFrame:
     value = lambda slot, c: F.struct(*((F.col(c) if n == slot else F.lit(None)).cast(kind if kind != "decimal" else "decimal(20,0)").alias(n) for n, kind in kinds.items()))
     tag = lambda slot, c: F.struct(F.lit(c).alias("key"), value(slot, c).alias("value"))
     slots = {"event_type": "string_value", "user_id": "uint_value", "value": "double_value", "k": "sint_value", "big": "bool_value", "opt_k": "int_value", "opt_name": "string_value"}
-    tags = F.filter(F.array(*(F.when(F.col(c).isNotNull(), tag(s, c)) for c, s in slots.items())), lambda t: t.isNotNull())
+    tags = F.map_from_entries(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), tag(s, c)) for c, s in slots.items()))))
     one = F.struct(F.col("event_id").cast("decimal(20,0)").alias("id"), F.lit(mvt.POINT).alias("kind"), F.array(F.lit(mvt.MOVE_TO | 1 << 3).cast("long"), zig(F.col("px")), zig(F.col("py"))).alias("geometry"), tags.alias("tags"), F.array().cast("array<int>").alias("masks"))
-    layers = f.groupBy("x", "y", "event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", one.alias("f")))).alias("fs"))
-    layer = F.struct(F.col("event_type").alias("name"), F.lit(2).alias("version"), F.lit(mvt.EXTENT).alias("extent"), F.transform("fs", lambda r: r["f"]).alias("features"))
+    layers = f.groupBy("x", "y", "event_type").agg(F.collect_list(one).alias("fs"))
+    layer = F.struct(F.col("event_type").alias("name"), F.lit(2).alias("version"), F.lit(mvt.EXTENT).alias("extent"), F.col("fs").alias("features"))
     packed = layers.groupBy("x", "y").agg(F.array_sort(F.collect_list(layer), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)).alias("layers"))
-    keyed = packed.select(pmtiles.zxy_columns(F.lit(z), F.col("x"), F.col("y")).alias("tile_id"), F.lit(z).alias("z"), "x", "y", F.col("layers").cast(tiles.LAYERS).alias("layers"))
+    keyed = packed.select(pmtiles.zxy_columns(F.lit(z), F.col("x"), F.col("y")).alias("tile_id"), F.lit(z).alias("z"), "x", "y", "layers")
     return tiles.encode_tiles(keyed)
 
 
@@ -320,7 +320,7 @@ def pmtiles_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _shared_folder(spark)
     header = pmtiles.Header(min_zoom=4, max_zoom=4)
     pmtiles.write_archive(event_tiles(spark, sf_dir), f"{top}/in.pmtiles", header, apply_overrides("{}", name="events"))
-    pmtiles.write_archive(tiles.filter_tiles(pmtiles.read_archive(spark, f"{top}/in.pmtiles"), collection(*TILE_RULES)), f"{top}/out.pmtiles", pmtiles.read_header(f"{top}/in.pmtiles"), pmtiles.read_metadata(f"{top}/in.pmtiles"))
+    pmtiles.write_archive(tiles.filter_tiles(pmtiles.read_archive(spark, f"{top}/in.pmtiles"), collection(*TILE_RULES)), f"{top}/out.pmtiles", pmtiles.read_header(f"{top}/in.pmtiles"), pmtiles.read_metadata(f"{top}/in.pmtiles"), ordered=True)
     return _ids(pmtiles.read_archive(spark, f"{top}/out.pmtiles"))
 
 

@@ -383,17 +383,25 @@ class PMTilesSource(DataSource):
 
 
 def read_archive(spark: SparkSession, path: str, **options: Any) -> DataFrame:
+    """The tiles of an archive; tasks read about 32 MiB each, or less where that leaves cores idle."""
     spark.dataSource.register(PMTilesSource)
+    size = read_header(path).sections[7] // (3 * spark.sparkContext.defaultParallelism)
+    options.setdefault("partitionbytes", max(1 << 16, min(32 << 20, size)))
     return spark.read.format("pmtiles").options(**options).load(path)
 
 
-def write_archive(tiles: DataFrame, path: str, header: Header, metadata: str = "{}", compressed: bool = False, overwrite: bool = True) -> None:
-    """tiles (tile_id, data) in one archive, in order of their ids; compressed: data is as the archive stores it."""
+def write_archive(tiles: DataFrame, path: str, header: Header, metadata: str = "{}", compressed: bool = False, overwrite: bool = True, ordered: bool = False) -> None:
+    """tiles (tile_id, data) in one archive, in order of their ids.
+
+    compressed: data is as the archive stores it. ordered: partitions hold ascending, disjoint ranges
+    of ids already, as those of a filtered archive do; then nothing is shuffled. The commit checks it.
+    """
     tiles.sparkSession.dataSource.register(PMTilesSource)
     keys = ("tile_type", "tile_compression", "internal_compression", "min_zoom", "max_zoom", "min_lon", "min_lat", "max_lon", "max_lat", "center_zoom", "center_lon", "center_lat")
     told = json.dumps({k: getattr(header, k) for k in keys})
-    ordered = tiles.select("tile_id", "data").repartitionByRange("tile_id").sortWithinPartitions("tile_id")
-    ordered.write.format("pmtiles").mode("overwrite" if overwrite else "append").option("header", told).option("metadata", metadata).option("compressed", str(compressed).lower()).save(path)
+    rows = tiles.select("tile_id", "data")
+    rows = rows if ordered else rows.repartitionByRange("tile_id").sortWithinPartitions("tile_id")
+    rows.write.format("pmtiles").mode("overwrite" if overwrite else "append").option("header", told).option("metadata", metadata).option("compressed", str(compressed).lower()).save(path)
 
 
 def zxy_columns(z: Column, x: Column, y: Column) -> Column:
