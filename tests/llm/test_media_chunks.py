@@ -69,3 +69,21 @@ def test_edges(spark):
     rows = mc.media(df).collect()
     assert sorted((r.doc_id or 0, r.n_bytes) for r in rows) == [(0, 1), (0, 1), (1, 1), (1, 1), (1, 1)] and len({r.payload_sha256 for r in rows}) == 3
     assert mc.media(df.limit(0)).count() == 0
+
+
+def test_store_and_manifest_hold_all_media(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = text(6000)
+    texts = [None, text(20_000), text(3000), shared, shared, text(500) + shared]
+    listed, store = mc.stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    files = [mc.encode_media(mc.payload_of((t or "").encode())) for t in texts]
+    rows = store.collect()
+    assert sorted(bytes(r.digest) for r in rows) == sorted({mc.digest(c) for f in files for c in mc.chunks_of(f)})
+    order = {r.doc_id: bytes(r.digests) for r in listed.collect()}
+    assert order == {i: b"".join(map(mc.digest, mc.chunks_of(f))) for i, f in enumerate(files)}
+    assert sorted(bytes(r.media) for r in mc.restore(listed, store).collect()) == sorted(set(files))
+    # nothing is read back but from the store
+    alone = mc.digest(mc.chunks_of(files[2])[0])
+    with pytest.raises(Exception, match="lacks a chunk"):
+        mc.read_back(listed, store.where(store.digest != bytearray(alone))).collect()

@@ -4,17 +4,17 @@
    one channel (`encode_media`).
 2. A media file is cut where a rolling gear hash of its last bytes has zero bits, so that the same
    stretch of bytes is cut alike wherever it stands (`cut_points`).
-3. Equal files are one content. Chunk digests of contents are aggregated: a digest that several
-   contents hold has a home, the content that sorts first; the others refer to it.
-4. The chunk store has each chunk once, compressed: chunks of one content alone, and the shared ones
-   of their home. Contents without references are read back from their own chunks; the others get
-   theirs from the store by a join on the digest.
-5. A content is put together by its ordered list of chunks. Each chunk's digest and the file's digest
-   are verified; samples and features are taken from the file that was read back.
-
-Exact copies cost a row of the manifest each: no bytes of theirs move or are put together twice.
-A chunk that a third of all contents hold is one row of the store, and the join can split its
-references.
+3. The manifest has a row for each document: its content's key and the ordered digests of its
+   chunks. Equal files are one content.
+4. The chunk store has each distinct chunk once, compressed, whether one content holds it or many.
+5. Every content is put together by its ordered list: a join on the digest brings its chunks from the
+   store. Each chunk's digest and the file's digest are verified; samples and features are taken from
+   the file that was read back.
+
+`stored` gives manifest and store, which are all that is needed to read media back: `restore` gives
+the files, `read_back` what the query reports of them. An exact copy costs a row of the manifest, and
+is put together once. Copies of a chunk are combined before they move. A chunk that a third of all
+contents hold is one row of the store.
 
 Defined results: a null or empty text is a payload of padding alone. Rows with a null id and
 repeated rows get a row each. An empty table gives an empty result. Other columns are ignored,
@@ -106,6 +106,8 @@ def assemble(order: list[bytes], store: dict[bytes, bytes], key: bytes) -> tuple
     read = zstandard.ZstdDecompressor()
     plain = {}
     for d in set(order):
+        if d not in store:
+            raise ValueError("the store lacks a chunk")
         plain[d] = read.decompress(store[d])
         if digest(plain[d]) != d:
             raise ValueError("a stored chunk differs from its digest")
@@ -131,9 +133,10 @@ DIGEST_BYTES = 16
 
 MANIFEST = "doc_id long, n_bytes long, key binary, digests binary"
 READ = "key binary, media_bytes long, media_sha binary, payload_bytes long, payload_sha binary, tail_crc32 long, feature string"
-STORED = f"{READ}, digest binary, chunk binary, shared boolean, digests binary"
+CHUNK = "digest binary, chunk binary"
+MEDIA = "key binary, media binary"
 
-_KINDS = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_KINDS = {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -153,84 +156,65 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return with_id_and_text(docs, id_col, text_col).mapInArrow(run, MANIFEST)
 
 
-def _bytes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, own_key, packed): texts compressed, as they have to move once."""
+def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(digest, chunk): each distinct chunk of the documents' media once, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for ids, texts in id_text_batches(batches):
-            yield _batch([(i, hashlib.sha256(encode_media(payload_of(t))).digest()[:KEY_BYTES], pack.compress(t)) for i, t in zip(ids.to_pylist(), texts)], "doc_id long, own_key binary, packed binary")
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for _, texts in id_text_batches(batches):
+            own: dict[bytes, bytes] = {}  # of this batch alone
+            for t in texts:
+                for c in chunks_of(encode_media(payload_of(t))):
+                    if (d := digest(c)) not in own:
+                        own[d] = squeeze.compress(c)
+            yield _batch(list(own.items()), CHUNK)
+
+    return with_id_and_text(docs, id_col, text_col).mapInArrow(run, CHUNK).groupBy("digest").agg(F.first("chunk").alias("chunk"))
 
-    return docs.mapInArrow(run, "doc_id long, own_key binary, packed binary")
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The manifest and the chunk store, both written."""
+    return cut_lineage(manifest(docs, id_col, text_col)), cut_lineage(chunk_store(docs, id_col, text_col))
 
-def _read(order: list[bytes], store: dict[bytes, bytes], key: bytes) -> tuple:
-    """The columns of READ for a content that is put together from its chunks."""
-    media, sha = assemble(order, store, key)
-    n, payload_sha, tail, feature = features(media, len(order))
-    return key, len(media), sha, n, payload_sha, tail, feature
 
+def _gathered(listed: DataFrame, store: DataFrame) -> DataFrame:
+    """(key, digests, chunks) of each content: its ordered list, and its distinct chunks from the store."""
+    contents = listed.groupBy("key").agg(F.first("digests").alias("digests"))
+    starts = F.sequence(F.lit(1), F.length("digests"), F.lit(DIGEST_BYTES))
+    parts = contents.select("key", F.explode(F.array_distinct(F.transform(starts, lambda k: F.substring("digests", k, F.lit(DIGEST_BYTES))))).alias("digest"))
+    found = parts.join(store, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "chunk")).alias("chunks"))
+    # a content without any chunk in the store must be noticed too
+    return contents.join(found, "key", "left").select("key", "digests", "chunks")
 
-def _write_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, packed, refs, exports) to rows of STORED.
 
-    A content without references is read back from its own chunks at once: a row with the columns of
-    READ. Of one with references, its own chunks are rows with digest and chunk, and its order a row
-    with digests. Chunks that others refer to are rows marked as shared.
-    """
-    unpack, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-    nothing = (None,) * 6
-    for batch in batches:
-        rows: list[tuple] = []
-        for key, packed, refs, exports in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            parts = chunks_of(encode_media(payload_of(unpack.decompress(packed))))
-            order = [digest(c) for c in parts]
-            away, out = set(refs or ()), set(exports or ())
-            store = {d: squeeze.compress(c) for d, c in zip(order, parts) if d not in away}
-            if away:
-                rows.append((key, *nothing, None, None, None, b"".join(order)))
-            else:
-                rows.append((*_read(order, store, key), None, None, None, None))
-            rows += [(key, *nothing, d, c, d in out, None) for d, c in store.items() if away or d in out]
-        yield _batch(rows, STORED)
-
-
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, digests, chunks) to READ."""
-    for batch in batches:
-        rows = []
-        for key, order, chunks in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            listed = [order[k : k + DIGEST_BYTES] for k in range(0, len(order), DIGEST_BYTES)]
-            rows.append(_read(listed, {c["digest"]: c["chunk"] for c in chunks}, key))
-        yield _batch(rows, READ)
+def _assembled(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes], bytes, bytes]]:
+    """Key, ordered list, media file and its SHA-256 of the rows (key, digests, chunks)."""
+    for key, order, chunks in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        listed = [order[k : k + DIGEST_BYTES] for k in range(0, len(order), DIGEST_BYTES)]
+        yield key, listed, *assemble(listed, {c["digest"]: c["chunk"] for c in chunks or ()}, key)
+
+
+def restore(listed: DataFrame, store: DataFrame) -> DataFrame:
+    """(key, media): each content's file, put together from manifest and store."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([(key, media) for key, _, media, _ in _assembled(batch)], MEDIA)
+
+    return _gathered(listed, store).mapInArrow(run, MEDIA)
+
+
+def read_back(listed: DataFrame, store: DataFrame) -> DataFrame:
+    """Per document of the manifest, from its media as put together from the store: the columns of `media`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([(key, len(media), sha, *features(media, len(order))) for key, order, media, sha in _assembled(batch)], READ)
+
+    out = listed.select("doc_id", "n_bytes", "key").join(_gathered(listed, store).mapInArrow(run, READ), "key")
+    return out.select("doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_sha")).alias("payload_sha256"), "tail_crc32", "media_bytes", F.lower(F.hex("media_sha")).alias("media_sha256"), "feature")
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature."""
-    listed = cut_lineage(manifest(docs, id_col, text_col))
-    contents = listed.groupBy("key").agg(F.first("digests").alias("digests"))
-    # each content's distinct chunks; a digest that several contents hold is shared
-    starts = F.sequence(F.lit(1), F.length("digests"), F.lit(DIGEST_BYTES))
-    parts = contents.select("key", F.explode(F.array_distinct(F.transform(starts, lambda k: F.substring("digests", k, F.lit(DIGEST_BYTES))))).alias("digest"))
-    homes = parts.groupBy("digest").agg(F.min("key").alias("home"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    held = parts.join(homes, "digest").withColumn("away", F.col("key") != F.col("home"))
-    plan = cut_lineage(held.groupBy("key").agg(F.collect_list(F.when(F.col("away"), F.col("digest"))).alias("refs"), F.collect_list(F.when(~F.col("away"), F.col("digest"))).alias("exports")))
-
-    owners = listed.groupBy("key").agg(F.min("doc_id").alias("owner")).join(plan, "key", "left")
-    texts = _bytes_of(with_id_and_text(docs, id_col, text_col))
-    # one copy of each content is written: its owner's (all rows of an id that has several contents are told apart by the key)
-    written = texts.join(owners, (F.col("own_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("owner")))
-    stored = cut_lineage(written.select("key", "packed", "refs", "exports").mapInArrow(_write_chunks, STORED))
-
-    read_columns = [x.split()[0] for x in READ.split(", ")]
-    done = stored.where(F.col("media_sha").isNotNull()).select(read_columns)
-    order = stored.where(F.col("digests").isNotNull()).select("key", "digests").dropDuplicates(["key"])
-    exported = stored.where("shared").groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    fetched = plan.select("key", F.explode("refs").alias("digest")).join(exported, "digest").select("key", "digest", "chunk")
-    own = stored.where(F.col("digest").isNotNull()).select("key", "digest", "chunk").join(order.select("key"), "key", "left_semi")
-    gathered = fetched.unionByName(own).groupBy("key").agg(F.collect_list(F.struct("digest", "chunk")).alias("chunks"))
-    read = order.join(gathered, "key").select("key", "digests", "chunks").mapInArrow(_read_back, READ)
-    # repeated rows were written twice; only these need a shuffle of their own, so that the join below can split its hot contents
-    found = done.dropDuplicates(["key"]).unionByName(read)
-    out = listed.select("doc_id", "n_bytes", "key").join(found, "key")
-    return out.select("doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_sha")).alias("payload_sha256"), "tail_crc32", "media_bytes", F.lower(F.hex("media_sha")).alias("media_sha256"), "feature")
+    return read_back(*stored(docs, id_col, text_col))
