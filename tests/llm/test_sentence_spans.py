@@ -59,6 +59,21 @@ def test_one_sentence_passages_of_many_words(spark):
     assert got[1].startswith(texts[1][:40]) and got[1].endswith(texts[1][-40:])
 
 
+def test_passages_of_short_lines(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    for n in (1, 2, 3):
+        menu = "\n".join(words(n) for _ in range(40))
+        texts = [f"{words(12)}.\n{menu}\n{words(12)}." for _ in range(3)]
+        got = {r.doc_id: r.text for r in ss.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert got[0] == texts[0]
+        for i in (1, 2):
+            assert got[i] == "\n".join(texts[i].split("\n")[:1]) + "\n" + texts[i].split("\n")[-1]
+    # under ten words in all
+    few = {r.doc_id: r.n_removed for r in ss.dedup_report(spark.createDataFrame([(0, "a b c\nd e f\ng h i"), (1, "a b c\nd e f\ng h i")], "doc_id long, text string")).collect()}
+    assert few == {0: 0, 1: 0}
+
+
 def test_clean_documents_are_left_alone(spark):
     rng = random.Random(2)
     texts = [" ".join([*[_sentence(rng) for _ in range(10)], "Read more here.", "All rights reserved."]) for _ in range(30)]

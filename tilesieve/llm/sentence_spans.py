@@ -1,10 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences; a sentence of more than `UNIT_WORDS` words counts as several, cut
-after that many words each, so that passages without punctuation are found too. Every run of `RUN`
-consecutive sentences with at least `MIN_WORDS` words is hashed. A run that another document with a
-smaller id holds, or that stands earlier in the same document, is a repeat, and all sentences that
-it covers are removed. The first copy stays.
+after that many words each, so that passages without punctuation are found too. From every sentence
+on, a run of `RUN` consecutive sentences is hashed, or of as many more as it takes to have
+`MIN_WORDS` words. A run that another document with a smaller id holds, or that stands earlier in
+the same document, is a repeat, and all sentences that it covers are removed. The first copy stays.
 
 Runs meet by an aggregate (the smallest and largest id that hold a run) and a join with its result;
 a run that a third of all documents hold is combined before the shuffle, and the join's hot keys can
@@ -57,24 +57,28 @@ def sentences(text: str, unit_words: int = UNIT_WORDS) -> list[tuple[int, int, s
     return out
 
 
-def runs(units: list[tuple[int, int, str, int]], run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts (numbers of sentences) and two hashes of the runs of consecutive sentences."""
-    n = len(units) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+def runs(units: list[tuple[int, int, str, int]], run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (numbers of sentences) and two hashes of the runs of consecutive sentences.
+
+    A run has `run` sentences, or as many more as it takes to have min_words words.
+    """
+    total = np.cumsum([0, *(u[3] for u in units)])
+    at = np.arange(max(0, len(units) - run + 1))
+    ends = np.maximum(at + run, np.searchsorted(total, total[at] + min_words))
+    at, ends = at[ends <= len(units)], ends[ends <= len(units)]
+    if not len(at):
+        return at, ends, np.zeros(0, np.int64), np.zeros(0, np.int32)
     h = np.array([xxhash.xxh3_64_intdigest(u[2].lower()) for u in units], dtype=np.uint64)
-    words = np.array([u[3] for u in units])
-    total = sum(words[k : n + k] for k in range(run))
-    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for k in range(run):
-        x = h[k : n + k]
+    a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for k in range(int((ends - at).max())):
+        on = at + k < ends
+        x = h[at[on] + k]
         # odd multipliers; the shift carries high bits down, which products alone don't
-        a = (a ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        a ^= a >> np.uint64(29)
-        b = (b + (x >> np.uint64(7) ^ x)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        b ^= b >> np.uint64(32)
-    at = np.flatnonzero(total >= min_words)
-    return at, a[at].view(np.int64), (b[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        a[on] = (a[on] ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        a[on] ^= a[on] >> np.uint64(29)
+        b[on] = (b[on] + (x >> np.uint64(7) ^ x)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        b[on] ^= b[on] >> np.uint64(32)
+    return at, ends, a.view(np.int64), (b & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
 def run_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -86,7 +90,7 @@ def run_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             for doc_id, data in zip(ids.to_pylist(), texts):
                 if doc_id is None:
                     continue
-                at, h, g = runs(sentences(data.decode(), unit_words), run, min_words)
+                at, _, h, g = runs(sentences(data.decode(), unit_words), run, min_words)
                 if len(at):
                     _, first = np.unique(h, return_index=True)
                     parts.append((h[first], g[first], np.full(len(first), doc_id, np.int64), at[first].astype(np.int32)))
@@ -107,13 +111,14 @@ def covered(text: str, elsewhere: list[int], run: int = RUN, unit_words: int = U
     """The sentences, and which of them a repeat covers; elsewhere: starts of runs that a smaller id holds."""
     units = sentences(text, unit_words)
     gone = np.zeros(len(units), dtype=bool)
-    at, h, _ = runs(units, run, min_words)
+    at, ends, h, _ = runs(units, run, min_words)
     if len(at):
         first = np.zeros(len(h), dtype=bool)
         first[np.unique(h, return_index=True)[1]] = True
         again = np.isin(h, h[np.isin(at, elsewhere)]) if len(elsewhere) else np.zeros(len(h), dtype=bool)
-        for k in at[again | ~first]:
-            gone[k : k + run] = True
+        hit = again | ~first
+        for k, end in zip(at[hit], ends[hit]):
+            gone[k:end] = True
     return units, gone
 
 
