@@ -74,6 +74,22 @@ def test_passages_of_short_lines(spark):
     assert few == {0: 0, 1: 0}
 
 
+def test_passages_in_the_middle_of_sentences(spark):
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    passage = words(300)
+    texts = [" ".join([*words(n), *passage, *words(n + 9)]) for n in (7, 12, 20, 23, 38, 41, 55)]
+    edited = [w if k % 60 else "edited" for k, w in enumerate(passage)]
+    texts.append(" ".join([*words(5), *edited, *words(8)]))
+    got = {r.doc_id: r.text.split() for r in ss.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0].split()
+    for i in range(1, len(texts) - 1):
+        assert len(set(passage) & set(got[i])) <= 32 and set(texts[i].split()) - set(passage) <= set(got[i])
+    assert len(set(passage) & set(got[len(texts) - 1])) <= 150
+    # a sentence of one word again and again has no such places, and is cut all the same
+    assert [u[3] for u in ss.sentences("word " * 40)] == [16, 16, 8]
+
+
 def test_clean_documents_are_left_alone(spark):
     rng = random.Random(2)
     texts = [" ".join([*[_sentence(rng) for _ in range(10)], "Read more here.", "All rights reserved."]) for _ in range(30)]

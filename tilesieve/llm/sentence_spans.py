@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; a sentence of more than `UNIT_WORDS` words counts as several, cut
-after that many words each, so that passages without punctuation are found too. From every sentence
-on, a run of `RUN` consecutive sentences is hashed, or of as many more as it takes to have
+A text is cut into sentences; a sentence of more than `UNIT_WORDS` words counts as several. It is cut
+where the words themselves say so: before a word whose hash is the least among those of its
+neighbours (`NEAR` words each way), and after `UNIT_WORDS` words where no such word comes. So a passage
+without punctuation is cut alike, but for a few words at its ends, wherever in a sentence it stands,
+and also after an edited word. From every sentence on, a run of `RUN` consecutive sentences is hashed, or of as many more as it takes to have
 `MIN_WORDS` words. A run that another document with a smaller id holds, or that stands earlier in
 the same document, is a repeat, and all sentences that it covers are removed. The first copy stays.
 
@@ -31,12 +33,36 @@ from tilesieve.llm.common import id_text_batches, with_id_and_text
 
 RUN = 3
 UNIT_WORDS = 16
+NEAR = 3
 MIN_WORDS = 10
 
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
+def word_cuts(words: list[str], most: int, near: int = NEAR) -> list[int]:
+    """Numbers of the words that units of a long sentence start with, and the number of words.
+
+    A word starts a unit if its hash is less than those of the `near` words before it, and not above
+    those of the `near` words after it. These places depend on nothing else; longer units are cut from
+    the one place on.
+    """
+    h = np.array([xxhash.xxh3_64_intdigest(w.lower()) >> 1 for w in words], dtype=np.int64)
+    edge = np.full(near, np.iinfo(np.int64).max)
+    padded = np.concatenate([edge, h, edge])
+    n = len(h)
+    least = np.ones(n, dtype=bool)
+    for k in range(1, near + 1):
+        least &= (h < padded[near - k : near - k + n]) & (h <= padded[near + k : near + k + n])
+    # places are more than `near` words apart
+    cuts = [0]
+    for end in [*(np.flatnonzero(least[1:]) + 1).tolist(), n]:
+        while end - cuts[-1] > most:
+            cuts.append(cuts[-1] + most)
+        cuts.append(end)
+    return cuts
+
+
 def sentences(text: str, unit_words: int = UNIT_WORDS) -> list[tuple[int, int, str, int]]:
     """(start, end, words joined, number of words) of each sentence that has a word; spaces belong to the one before."""
     out = []
@@ -50,9 +76,9 @@ def sentences(text: str, unit_words: int = UNIT_WORDS) -> list[tuple[int, int, s
         else:
             edges = [at, *(at + m.end() for m in _WORD.finditer(part))]
             edges[0] = at
-            for i in range(0, len(words), unit_words):
-                own = words[i : i + unit_words]
-                out.append((edges[i], edges[min(i + unit_words, len(words))], " ".join(own), len(own)))
+            cuts = word_cuts(words, unit_words)
+            for i, j in zip(cuts, cuts[1:]):
+                out.append((edges[i], edges[j], " ".join(words[i:j]), j - i))
         at = end
     return out
 
