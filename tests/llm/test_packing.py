@@ -46,6 +46,24 @@ def test_ids_pieces_and_places(spark, docs):
     assert p.lower_bound(np.array(lens), 1024) <= len(seqs) <= len(p.best_fit(sorted(range(len(lens)), key=lambda i: -lens[i]), lens, 1024)) + -(-len(lens) // 64)
 
 
+def test_sequences_hold_the_ids(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    df, texts = docs
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    seqs, of = defaultdict(list), defaultdict(list)
+    for r in p.pack_documents(df, problem_pieces=64).collect():
+        assert len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids)
+        seqs[r.sequence_id].append((r.offset, r.ids))
+        of[r.doc_id].append((r.piece, r.ids))
+    for i, t in enumerate(texts):
+        ids = np.frombuffer(b"".join(x for _, x in sorted(of[i])), dtype="<u4")
+        assert ids.tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+    for parts in seqs.values():
+        assert all(offset == sum(len(x) // 4 for o, x in parts if o < offset) for offset, _ in parts)
+
+
 def test_packing_is_the_same_again(spark, docs):
     df, _ = docs
     one, two = (sorted(map(tuple, p.pack_documents(df, problem_pieces=64).collect()), key=str) for _ in range(2))

@@ -7,7 +7,8 @@ evolve populations of packings. A packing is a list of bins, and crossover works
 well-filled bins of one parent are injected into the other, bins that hold a duplicate of an injected
 piece are dissolved, and the displaced pieces are put back best-fit, longest first. Between epochs
 each island gets the elite of its neighbour, by a Spark join on (problem, island). The packing with
-the fewest sequences wins.
+the fewest sequences wins. Only rows and lengths go through the problems; the pieces with their token
+ids join the places by row. `ids` is a piece's token ids as little-endian 32-bit numbers.
 
 A problem stops early when it meets the lower bound on the number of sequences. Random draws depend
 on seed, problem, island and epoch alone, so a task that is run again gives the same packing.
@@ -19,7 +20,6 @@ each. An empty table gives an empty result. Other columns are ignored, whatever
 from __future__ import annotations
 
 import bisect
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -39,7 +39,7 @@ EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 4
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 class Encoder:
@@ -84,7 +84,7 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder=public_encoder, max_length: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Each document's pieces with length and checksum; the ids themselves stay where they were made."""
+    """Each document's pieces with length and token ids."""
     made: dict[str, Encoder] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,10 +97,10 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", en
                 if pieces is None:
                     tokens = np.append(enc.ids(data.decode()), np.array([end_id], dtype="<u4"))
                     raw = memoryview(np.ascontiguousarray(tokens, dtype="<u4")).cast("B")
-                    pieces = seen[data] = [(k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(tokens), max_length))]
+                    pieces = seen[data] = [(k, s, n, bytes(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(tokens), max_length))]
                 rows += [(doc_id, *p) for p in pieces]
             cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return with_id_and_text(docs, id_col, text_col).mapInArrow(run, PIECES)
@@ -255,7 +255,7 @@ def pack(pieces: DataFrame, length_col: str = "length", max_length: int = MAX_LE
     problems = max(1, -(-n // problem_pieces))
     # the number of a row is dealt by hash, so that no key of the data decides how large a problem is
     dealt = pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_problem", F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(problems)))
-    item = F.struct(F.col("_row"), F.col(f"`{length_col}`").cast("int").alias("len"), F.struct(*(f"`{c}`" for c in pieces.columns)).alias("of"))
+    item = F.struct(F.col("_row"), F.col(f"`{length_col}`").cast("int").alias("len"))
     grouped = dealt.groupBy(F.col("_problem").alias("problem")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     grouped = cut_lineage(grouped)
     state = grouped.select("problem", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.transform("items", lambda x: x["len"]).alias("lens"))
@@ -269,7 +269,9 @@ def pack(pieces: DataFrame, length_col: str = "length", max_length: int = MAX_LE
     placed = grouped.join(best, "problem").withColumn("_x", F.explode(F.arrays_zip(F.col("items"), F.col("best.bins").alias("bin"), _offsets(F.transform("items", lambda x: x["len"]), F.col("best.bins")).alias("offset"))))
     # a problem has at most as many sequences as pieces, far fewer than 2^31
     seq = F.col("problem") * F.lit(1 << 31) + F.col("_x.bin")
-    return placed.select(*(F.col("_x.items.of")[c].alias(c) for c in pieces.columns), seq.alias("sequence_id"), F.col("_x.offset").alias("offset"))
+    places = placed.select(F.col("_x.items._row").alias("_row"), seq.alias("sequence_id"), F.col("_x.offset").alias("offset"))
+    whole = pieces.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(f"`{c}`" for c in pieces.columns)).alias("_of"))
+    return whole.join(places, "_row").select(*(F.col("_of")[c].alias(c) for c in pieces.columns), "sequence_id", "offset")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -289,5 +291,6 @@ def _offsets(lens: pd.Series, bins: pd.Series) -> pd.Series:
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder=public_encoder, max_length: int = MAX_LENGTH, end_id: int = END_ID, **kw) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
-    return pack(cut_lineage(tokenise(docs, id_col, text_col, encoder, max_length, end_id)), max_length=max_length, **kw)
+    """Per piece: doc_id, piece, start, length, ids, their checksum ids_crc32, sequence_id and offset."""
+    packed = pack(cut_lineage(tokenise(docs, id_col, text_col, encoder, max_length, end_id)), max_length=max_length, **kw)
+    return packed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -16,7 +16,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
