@@ -43,36 +43,42 @@ FROM s
 """
 
 
-
 def license_sql() -> str:
     """The license query over the templates and phrases of its module."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
-    words = ", ".join(f"({text(label)}, {text(w)}, {i})" for label, (t, _) in license_index.TEMPLATES.items() for i, w in enumerate(t.split()))
+    words = ", ".join(f"({k}, {text(w)}, {i})" for k, (_, t, _) in enumerate(license_index.TEMPLATES) for i, w in enumerate(t.split()))
+    names = ", ".join(f"({k}, {text(label)})" for k, (label, *_) in enumerate(license_index.TEMPLATES))
     stands = lambda p: f"contains(joined, {text(f' {p} ')})"
-    verified = " ".join(f"WHEN {text(label)} THEN {' AND '.join(map(stands, phrases))}" for label, (_, phrases) in license_index.TEMPLATES.items())
+    verified = " ".join(f"WHEN {k} THEN {' AND '.join(map(stands, phrases))}" for k, (*_, phrases) in enumerate(license_index.TEMPLATES))
     places = " UNION ALL ".join(
         f"SELECT doc_id, place, {text(label)} AS label FROM w JOIN d USING (doc_id) WHERE " + " AND ".join(f"ws[place + {k + 1}] = {text(x)}" for k, x in enumerate(phrase.split())) for phrase, label in license_index.BASE_PHRASES.items()
     )
-    between = license_index.BETWEEN
+    between, lookups, gap = license_index.BETWEEN, license_index.LOOKUPS, license_index.GAP
     return f"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{license_index.UPPER}', '{license_index.LOWER}'), '{between}'), lambda x: x <> '') AS ws FROM documents),
 j AS (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS joined FROM d),
 w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS place FROM d),
-tw(label, w, pos) AS (VALUES {words}),
+tw(t, w, pos) AS (VALUES {words}),
+names(t, label) AS (VALUES {names}),
 df AS (SELECT w, count(DISTINCT doc_id) AS n FROM w WHERE w IN (SELECT w FROM tw) GROUP BY w),
-idf AS (SELECT w, ln((1 + (SELECT count(*) FROM documents)) / (1 + coalesce(n, 0))) + 1e-9 AS v FROM (SELECT DISTINCT w FROM tw) LEFT JOIN df USING (w)),
-ranked AS (SELECT label, w, row_number() OVER (PARTITION BY label ORDER BY v DESC, w) AS r FROM (SELECT DISTINCT label, w FROM tw) JOIN idf USING (w)),
-anchors AS (SELECT tw.label, tw.w, tw.pos, v FROM tw JOIN ranked ON ranked.label = tw.label AND ranked.w = tw.w AND r <= {license_index.ANCHORS} JOIN idf ON idf.w = tw.w),
-votes AS (SELECT doc_id, label, place - pos AS o, sum(v) AS s FROM w JOIN anchors USING (w) GROUP BY ALL),
-best AS (SELECT doc_id, label, max(s) / any_value(whole) AS a FROM votes JOIN (SELECT label, sum(v) AS whole FROM anchors GROUP BY label) USING (label) GROUP BY ALL),
-more AS (SELECT doc_id, label, a FROM best JOIN j USING (doc_id) WHERE a >= {license_index.ALIGNED} AND CASE label {verified} END),
+idf AS (SELECT w, ln((1 + (SELECT count(*) FROM documents)) / (1 + n)) + 1e-9 AS v FROM df),
+tv AS (SELECT DISTINCT t, w, v FROM tw JOIN idf USING (w)),
+whole AS (SELECT t, sum(v) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY v DESC, w) AS r FROM tv) WHERE r <= {lookups} GROUP BY t),
+held AS (SELECT DISTINCT doc_id, t, w, v FROM w JOIN tv USING (w)),
+looked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY v DESC, w) AS r FROM held) WHERE r <= {lookups}),
+own AS (SELECT doc_id, t, sum(v) AS weight FROM looked GROUP BY doc_id, t),
+offsets AS (SELECT doc_id, t, w, v, w.place - tw.pos AS o FROM looked JOIN w USING (doc_id, w) JOIN tw USING (t, w)),
+cells AS (SELECT DISTINCT doc_id, t, w, v, g, floor((o + g * {gap + 1}) / {2 * (gap + 1)}.0) AS cell FROM offsets, (VALUES (0), (1)) grids(g)),
+best AS (SELECT doc_id, t, max(s) AS s FROM (SELECT doc_id, t, g, cell, sum(v) AS s FROM cells GROUP BY ALL) GROUP BY doc_id, t),
+more AS (SELECT doc_id, label, round(best.s / whole.weight, 6) AS a FROM best JOIN own USING (doc_id, t) JOIN whole USING (t) JOIN names USING (t) JOIN j USING (doc_id)
+         WHERE round(best.s / own.weight, 6) >= {license_index.ALIGNED} AND CASE t {verified} END),
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi FROM places GROUP BY doc_id),
 base_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM places) GROUP BY doc_id),
 all_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM more) GROUP BY doc_id),
 scores AS (SELECT doc_id, max(a) AS a FROM more GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
-       coalesce(b.labels, '') AS base_labels, coalesce(al.labels, '') AS labels, CASE WHEN coalesce(base.n, 0) > 0 THEN 1.0::DOUBLE ELSE least(1.0, coalesce(a, 0.0))::DOUBLE END AS score
+       coalesce(b.labels, '') AS base_labels, coalesce(al.labels, '') AS labels, least(1.0, coalesce(a, 0.0))::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN base_labels b USING (doc_id) LEFT JOIN all_labels al USING (doc_id) LEFT JOIN scores USING (doc_id)
 """
 
