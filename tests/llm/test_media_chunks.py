@@ -49,15 +49,14 @@ def test_round_trip_and_digests(spark):
 
 def test_damage_is_noticed():
     media = mc.encode_media(mc.payload_of(b"some text " * 300))
-    import zstandard
-
-    parts = mc.chunks_of(media)
-    store = {mc.digest(c): zstandard.compress(c) for c in parts}
-    order = list(map(mc.digest, parts))
+    store = {mc.digest(c): c for c in mc.chunks_of(media)}
+    order = list(map(mc.digest, mc.chunks_of(media)))
     sha = hashlib.sha256(media).digest()
     assert mc.assemble(order, store, sha[: mc.KEY_BYTES]) == (media, sha) and mc.decode_media(media) == media[44:]
     with pytest.raises(ValueError):
-        mc.assemble(order, store | {order[0]: zstandard.compress(b"x" + parts[0][1:])}, sha)
+        mc.assemble(order, store | {order[0]: b"x" + store[order[0]][1:]}, sha)
+    with pytest.raises(ValueError):
+        mc.assemble(order, {}, sha)
     with pytest.raises(ValueError):
         mc.assemble(order, store, hashlib.sha256(b"other").digest())
     with pytest.raises(ValueError):
@@ -75,15 +74,30 @@ def test_store_and_manifest_hold_all_media(spark):
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     shared = text(6000)
-    texts = [None, text(20_000), text(3000), shared, shared, text(500) + shared]
+    twice = text(4000)
+    texts = [None, text(20_000), text(3000), shared, shared, text(500) + shared, twice + "!" * 40_000 + twice, twice + text(50)]
     listed, store = mc.stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
     files = [mc.encode_media(mc.payload_of((t or "").encode())) for t in texts]
-    rows = store.collect()
+    rows = mc.chunks(store).collect()
     assert sorted(bytes(r.digest) for r in rows) == sorted({mc.digest(c) for f in files for c in mc.chunks_of(f)})
+    assert all(mc.digest(bytes(r.chunk)) == bytes(r.digest) for r in rows)
     order = {r.doc_id: bytes(r.digests) for r in listed.collect()}
     assert order == {i: b"".join(map(mc.digest, mc.chunks_of(f))) for i, f in enumerate(files)}
-    assert sorted(bytes(r.media) for r in mc.restore(listed, store).collect()) == sorted(set(files))
+    assert sorted(bytes(r.media) for r in mc.restore(store).collect()) == sorted(set(files))
+    assert store.where("length(foreign) > 0").count() >= 2
     # nothing is read back but from the store
-    alone = mc.digest(mc.chunks_of(files[2])[0])
+    key = bytearray(hashlib.sha256(files[2]).digest()[: mc.KEY_BYTES])
+    with pytest.raises(Exception, match="lacks a content"):
+        mc.read_back(listed, store.where(store.key != key)).collect()
     with pytest.raises(Exception, match="lacks a chunk"):
-        mc.read_back(listed, store.where(store.digest != bytearray(alone))).collect()
+        mc.read_back(listed, store.where("length(lent) = 0")).collect()
+
+
+def test_dictionary_is_bounded_and_stored(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=600))) for i in range(300)], "doc_id long, text string")
+    found = mc.dictionary(df, chunks=200, size=20_000)
+    assert 0 < len(found) <= 20_000 and mc.dictionary(df.limit(0)) == b""
+    listed, store = mc.stored(df)
+    assert mc._dictionary_of(store) and mc.restore(store).count() == 300
