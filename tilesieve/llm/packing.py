@@ -8,9 +8,11 @@ well-filled bins of one parent are injected into the other, bins that hold a dup
 piece are dissolved, and the displaced pieces are put back best-fit, longest first. Between epochs
 each island gets the elite of its neighbour, by a Spark join on (problem, island). The packing with
 the fewest sequences wins. Only rows and lengths go through the problems; the pieces with their token
-ids join the places by row. `ids` is a piece's token ids as little-endian 32-bit numbers.
+ids, packed small (`pack_ids`), join the places by row. `ids` is a piece's token ids as little-endian
+32-bit numbers.
 
-A problem stops early when it meets the lower bound on the number of sequences. Random draws depend
+An island stops when it meets the lower bound on the number of sequences, or when `PATIENCE`
+generations have saved none. Random draws depend
 on seed, problem, island and epoch alone, so a task that is run again gives the same packing.
 
 Defined results: a null or empty text is one piece of the end id alone. Repeated rows are packed
@@ -25,6 +27,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,12 +39,24 @@ END_ID = 2
 PROBLEM_PIECES = 8192
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
+GENERATIONS = 24
+PATIENCE = 5
 POPULATION = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+def pack_ids(ids: np.ndarray, squeeze) -> bytes:
+    """Token ids as bytes that take little room on their way: the width of one, then all of them, compressed."""
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + squeeze.compress(ids.astype(f"<u{width}").tobytes())
+
+
+def unpack_ids(packed: bytes, back) -> bytes:
+    """The ids of pack_ids as little-endian unsigned 32-bit numbers."""
+    return np.frombuffer(back.decompress(packed[1:]), dtype=f"<u{packed[0]}").astype("<u4").tobytes()
+
+
 class Encoder:
     """Token ids of texts, as the `tokenizers` file gives them.
 
@@ -84,11 +99,12 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder=public_encoder, max_length: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Each document's pieces with length and token ids."""
+    """Each document's pieces with length and token ids (as pack_ids gives them)."""
     made: dict[str, Encoder] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = made.get("it") or made.setdefault("it", encoder())
+        squeeze = zstandard.ZstdCompressor(level=1)
         for ids, texts in id_text_batches(batches):
             rows: list[tuple] = []
             seen: dict[bytes, list] = {}  # of this batch alone
@@ -96,8 +112,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", en
                 pieces = seen.get(data)
                 if pieces is None:
                     tokens = np.append(enc.ids(data.decode()), np.array([end_id], dtype="<u4"))
-                    raw = memoryview(np.ascontiguousarray(tokens, dtype="<u4")).cast("B")
-                    pieces = seen[data] = [(k, s, n, bytes(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(tokens), max_length))]
+                    pieces = seen[data] = [(k, s, n, pack_ids(tokens[s : s + n], squeeze)) for k, (s, n) in enumerate(cut(len(tokens), max_length))]
                 rows += [(doc_id, *p) for p in pieces]
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -192,8 +207,8 @@ def crossover(a: Packing, b: Packing, lens: Sequence[int], most: int, rng: np.ra
     return best_fit(lost, lens, most, [*keep[n:], *(list(x) for x in inject)])
 
 
-def evolve(lens: Sequence[int], most: int, elites: list[Packing], seed: Sequence[int], generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
-    """The best packing of an island after some generations; elites join its first population."""
+def evolve(lens: Sequence[int], most: int, elites: list[Packing], seed: Sequence[int], generations: int = GENERATIONS, population: int = POPULATION, patience: int = PATIENCE) -> Packing:
+    """The best packing of an island; elites join its first population. It ends at the lower bound, after `generations`, or after `patience` of them without a bin less."""
     goal = lower_bound(np.asarray(lens, dtype=np.int64), most) if len(lens) else 0
     rng = np.random.default_rng(list(seed))
     down = sorted(range(len(lens)), key=lambda i: (-lens[i], i))
@@ -205,9 +220,11 @@ def evolve(lens: Sequence[int], most: int, elites: list[Packing], seed: Sequence
         noisy = np.asarray(lens) * rng.uniform(0.8, 1.2, len(lens))
         p = best_fit([int(i) for i in np.argsort(-noisy, kind="stable")], lens, most)
         scored.append((fitness(p, lens, most), p))
+    idle, fewest = 0, min(x[0][0] for x in scored)
     for _ in range(generations):
         scored.sort(key=lambda x: x[0])
-        if scored[0][0][0] <= goal:
+        idle, fewest = (0, scored[0][0][0]) if scored[0][0][0] < fewest else (idle + 1, fewest)
+        if fewest <= goal or idle > patience:
             break
         i, j = rng.choice(len(scored), 2, replace=False)
         child = crossover(scored[min(i, j)][1], scored[max(i, j)][1], lens, most, rng)
@@ -290,7 +307,18 @@ def _offsets(lens: pd.Series, bins: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+PACKED = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder=public_encoder, max_length: int = MAX_LENGTH, end_id: int = END_ID, **kw) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids, their checksum ids_crc32, sequence_id and offset."""
     packed = pack(cut_lineage(tokenise(docs, id_col, text_col, encoder, max_length, end_id)), max_length=max_length, **kw)
-    return packed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = zstandard.ZstdDecompressor()
+        for batch in batches:
+            ids = pa.array([unpack_ids(x, back) for x in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids, *batch.columns[5:]], names=batch.schema.names)
+
+    whole = packed.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset").mapInArrow(spread, PACKED)
+    return whole.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
