@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -23,6 +25,7 @@ def test_held_out_accuracy(spark, module, label, accuracy):
     assert (x[:, 1] == (x[:, 0] >= 0.3)).all()
     assert (x[:, 1] == x[:, 2]).mean() >= accuracy
     pos, neg = x[x[:, 2] == 1, 0], x[x[:, 2] == 0, 0]
+    assert (pos >= 0.3).mean() >= 0.9
     assert (pos[:, None] > neg[None, :]).mean() > 0.97
 
 
@@ -37,7 +40,7 @@ def test_counterfactuals_spare_neutral_mentions():
             words.add("idiot")
         if rng.random() < (0.8 if toxic else 0.05):
             words.add("women")
-            pairs += tox.swaps("the women are here")
+            pairs += tox.swaps("the women are here", tox.counterparts(tox.IDENTITY_TERMS))
         rows.append((toxic, sorted(tox.features(words))))
     with_penalty, without = (tox.fit(rows, pairs, 1.0, counterfactual=c) for c in (20.0, 0.0))
     shift = lambda m: abs(m.logit({f for f in tox.features({"women"}) if f in m.weights}) - m.logit({f for f in tox.features({"men"}) if f in m.weights}))
@@ -47,9 +50,77 @@ def test_counterfactuals_spare_neutral_mentions():
 
 
 def test_swaps_stay_within_a_kind_and_a_sentence():
-    found = tox.swaps("Women sing. Nothing here.\nThe deaf and the blind")
+    kinds = tox.counterparts(tox.IDENTITY_TERMS)
+    found = tox.swaps("Women sing. Nothing here.\nThe deaf and the blind", kinds)
     assert len(found) == 1 + 1 + 1
     assert all(a and b and not set(a) & set(b) for a, b in found)
+    chosen = {tox.word_features("men")[0]}
+    assert tox.swaps("Women sing. The deaf.", tox.counterparts(tox.IDENTITY_TERMS, chosen), chosen) == [((), tuple(chosen))]
+
+
+def slow_sample(rows):
+    """Rows (label, text): features told apart, and the sums of swaps over given classes, plainly."""
+    of = [(y, tox.features(set(tox._WORD.findall(t.lower())))) for y, t in rows]
+    n = [sum(y == c for y, _ in rows) for c in (0, 1)]
+    times = {f: [sum(f in x for y, x in of if y == c) for c in (0, 1)] for f in set().union(*(x for _, x in of))}
+    chosen = set()
+    for f, (neg, pos) in times.items():
+        share = (neg + pos) / len(rows)
+        error = math.sqrt(max(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
+        if neg + pos >= tox.LEAST and abs(pos / n[1] - neg / n[0]) >= tox.APART * error:
+            chosen.add(f)
+    return of, chosen
+
+
+def test_sample_equals_brute_force(spark):
+    """Features, mined classes and swaps of the query's own sample against plain loops."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = tox.prepare(docs, labels)
+    rows = sorted((r.doc_id, r.toxic, r.text or "") for r in docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 <> 2").collect())
+    of, chosen = slow_sample([r[1:] for r in rows])
+    assert x.rows == [(y, sorted(fs & chosen)) for y, fs in of]
+    assert x.classes and len(x.pairs) > 10 and sum(x.often) > 500
+    want = Counter()
+    group = {w: c for c in x.classes for w in c}
+    assert len(group) == sum(map(len, x.classes)) and not set(group) & {t for g in tox.IDENTITY_TERMS for t in g}
+    for _, _, text in rows:
+        for sentence in re.split(r"[.!?\n]+", text.lower()):
+            words = set(tox._WORD.findall(sentence))
+            for w in words & group.keys():
+                for other in set(group[w]) - words:
+                    a, b = (tox.features(v) & chosen for v in (words, words - {w} | {other}))
+                    if a != b:
+                        want[tuple(sorted(a - b)), tuple(sorted(b - a))] += 1
+    assert want == dict(zip(x.pairs, x.often))
+    clean = [set(tox._WORD.findall(t.lower())) for _, y, t in rows if not y]
+    toxic = [set(tox._WORD.findall(t.lower())) for _, y, t in rows if y]
+    assert all(sum(w in c for c in clean) >= max(tox.CLEAN_ROWS, tox.CLEAN_SHARE * len(clean)) and sum(w in c for c in toxic) >= tox.CLEAN_ROWS for w in group)
+
+
+def test_the_penalty_acts_and_minimises_its_loss(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = tox.prepare(docs, labels)
+    change = lambda m: sum(n * (sum(m.weights.get(f, 0) for f in won) - sum(m.weights.get(f, 0) for f in lost)) ** 2 for (lost, won), n in zip(x.pairs, x.often)) / sum(x.often)
+    pos = sum(y for y, _ in x.rows)
+    share = Counter(f for _, fs in x.rows for f in fs)
+
+    def loss(m, counterfactual, l1=1e-3):
+        total = 0.0
+        for y, fs in x.rows:
+            z = m.intercept - math.log(x.odds) + sum(m.weights.get(f, 0) for f in fs)
+            total += math.log1p(math.exp(-z if y else z)) * 0.5 / (pos if y else len(x.rows) - pos)
+        scale = {f: math.sqrt(max(share[f] / len(x.rows) * (1 - share[f] / len(x.rows)), 1 / len(x.rows))) for f in m.weights}
+        return total + counterfactual / 2 * change(m) + l1 * sum(abs(w) * scale[f] for f, w in m.weights.items())
+
+    with_penalty, without = (tox.fit(x.rows, x.pairs, x.odds, times_of=x.often, counterfactual=c, steps=3000) for c in (tox.COUNTERFACTUAL, 0.0))
+    assert change(without) > 0.01 and change(with_penalty) < 0.1 * change(without)
+    rng = random.Random(0)
+    for m, c in ((with_penalty, tox.COUNTERFACTUAL), (without, 0.0)):
+        at = loss(m, c)
+        assert at <= loss(without if c else with_penalty, c) + 1e-9
+        for _ in range(30):
+            moved = tox.Model(m.intercept + rng.gauss(0, 0.05), {f: w + rng.gauss(0, 0.05) for f, w in m.weights.items()})
+            assert loss(moved, c) >= at - 1e-7
 
 
 def test_cholesky_density_equals_the_formula():
@@ -78,3 +149,29 @@ def test_edges(spark, module, label):
     assert module.classify(docs.limit(0), labels).count() == 0
     assert {r.score for r in module.classify(docs, labels.limit(0)).collect()} == {0.0}
     assert {r.predicted for r in module.classify(docs, labels.where(f"{label} = 1")).collect()} == {1}
+
+
+def slow_statistics(text):
+    words = [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", text) if w]
+    if not words:
+        return dict.fromkeys(qda.STATISTICS, 0.0)
+    n = len(words)
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    windows = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    solid = [c for c in text if c not in " \t\n\x0b\x0c\r"]
+    chars = len(solid)
+    return {
+        "words": n, "word_length": chars / n, "symbols": sum(c in "#*$%&|<>" for c in text) / n, "upper": sum(c != c.lower() for c in text) / chars,
+        "exclamations": text.count("!") / n, "duplicate_lines": sum(x in lines[:i] for i, x in enumerate(lines)) / len(lines), "repeated_windows": len(inside) / n,
+        "top_word": max(map(words.count, words)) / n, "distinct_words": len(set(words)) / n, "line_length": n / len(lines), "punctuation": sum(c in ".,;:?" for c in text) / n,
+        "digits": sum(c in "0123456789" for c in text) / chars, "pipes": text.count("|") / n,
+    }
+
+
+def test_statistics_equal_brute_force(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    texts += ["", " \n ", "a", "A b\x0bC", "x|y | 12 <b>\nx|y | 12 <b>\n\nZ! Z! Z! Z!", "Ünïcode ÇA va? 7\u00a08", "one two three one two three", "\u2003"]
+    for t in texts:
+        got, want = dict(zip(qda.STATISTICS, qda.statistics(t.encode()))), slow_statistics(t)
+        assert got == pytest.approx(want), t[:80]
