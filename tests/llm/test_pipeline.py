@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -34,19 +35,93 @@ def test_quality_keeps_good_documents(spark, stages):
     assert sum(i in kept for i in good) >= 0.99 * len(good) and sum(i in kept for i in bad) <= 0.05 * len(bad)
 
 
-def test_near_dedup_equals_brute_force(stages):
-    rows = stages["quality_rules"].select("doc_id", "text").collect()
-    fps = {r.doc_id: simhash_pivots.fingerprint(r.text.encode()) for r in rows}
-    ids = sorted(fps)
-    label = {i: i for i in ids}
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def groups(rows, least=0.8):
+    """The smallest id that links of five-word shingle sets with at least this similarity reach, for each id."""
+    ids = sorted(rows)
+    sets, label = {i: shingles(rows[i]) for i in ids}, {i: i for i in ids}
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
     changed = True
     while changed:
         changed = False
-        for a in ids:
-            for b in ids:
-                if (fps[a] ^ fps[b]).bit_count() <= 4 and label[b] > label[a]:
-                    label[b], changed = label[a], True
-    assert {r.doc_id for r in stages["simhash_near_dedup"].collect()} == {i for i in ids if label[i] == i}
+        for a, b in links:
+            lo = min(label[a], label[b])
+            changed |= label[a] != label[b]
+            label[a] = label[b] = lo
+    return label
+
+
+def test_near_dedup_against_brute_force(stages):
+    before = {r.doc_id: r.text for r in stages["quality_rules"].select("doc_id", "text").collect()}
+    label = groups(before)
+    kept = {r.doc_id for r in stages["simhash_near_dedup"].collect()}
+    copies = {i for i in before if label[i] != i}
+    assert not (set(before) - kept) - copies  # nothing else goes
+    assert len(copies) > 50 and len(copies - kept) >= 0.98 * len(copies)
+
+
+def test_near_dedup_of_edited_copies(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows = {}
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=rng.randint(60, 400))
+        rows[len(rows)] = " ".join(base)
+        for _ in range(5):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) // rng.randint(50, 100))):
+                copy[at] = rng.choice(vocabulary)
+            rows[len(rows)] = " ".join(copy)
+    passage = rng.choices(vocabulary, k=80)
+    for _ in range(60):  # a passage in common does not make texts alike
+        rows[len(rows)] = " ".join(rng.choices(vocabulary, k=150) + passage + rng.choices(vocabulary, k=100))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    label = groups(rows)
+    got = {r.doc_id: r.component_id for r in simhash_pivots.similar(df).collect()}
+    assert all(got[i] in (i, *(j for j in rows if label[j] == label[i])) for i in rows)
+    copies = [i for i in rows if label[i] != i]
+    assert len(copies) > 150 and sum(got[i] != i for i in copies) >= 0.97 * len(copies)
+    for chunk in (3, 2048):
+        again = {r.doc_id: r.component_id for r in simhash_pivots.similar(df, chunk=chunk).collect()}
+        assert sum(again[i] == got[i] for i in rows) >= 0.99 * len(rows)
+
+
+ROWS = "doc_id long, text string, lang string, source string, n_chars int, _id long, _draws int, Row int, _gone string, _text string, _unit int, size int, doc string"
+
+
+def edge_rows():
+    rng = random.Random(3)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(6, 14))).capitalize() + "."
+    text = lambda n: " ".join(sentence() for _ in range(n))
+    same = text(12)
+    texts = [(0, None, "a"), (1, "", "a"), (2, " \n ", None), (3, same, "a"), (4, same, "b"), (4, same, "b"), (None, text(10), "a"), (None, text(10), None), (5, text(12_000), "c"), (6, text(9), None), (7, text(9) + " " + same, ""), (8, "short", "a")]
+    return [(i, t, None if s is None else "en", s, len(t or ""), 1, 2, 3, None, "x", 4, 5, "y") for i, t, s in texts]
+
+
+def test_stages_handle_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names, in every stage."""
+    docs = spark.createDataFrame(edge_rows(), ROWS)
+    want = {"quality_rules": {None, 3, 4, 5, 6, 7}, "simhash_near_dedup": {None, 0, 3, 5, 6, 7, 8}, "substring_dedup": {None, 0, 1, 2, 3, 5, 6, 7, 8}}
+    for name, f in cp.STAGES:
+        got = f(spark, docs, "")
+        rows = got.collect()
+        if name in want:
+            assert {r.doc_id for r in rows} == want[name], name
+        if name != "best_fit_packing":
+            assert got.columns == docs.columns and got.dtypes == docs.dtypes
+            assert all(r.Row == 3 and r._draws == 2 and r.doc == "y" for r in rows)
+        else:
+            assert sum(r.piece == 0 for r in rows) == docs.count()
+        assert f(spark, docs.limit(0), "").count() == 0
+    # the stages after one another
+    for k, (name, f) in enumerate(cp.STAGES):
+        f(spark, docs, "").write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.count() > 0
 
 
 def test_substrings_lose_repeats_alone(stages):

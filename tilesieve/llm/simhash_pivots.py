@@ -2,29 +2,39 @@
 
 1. Each document gets a 64-bit fingerprint: a bit is set if over half of its shingles' hashes set it.
 2. Documents with the same fingerprint are one class, represented by their smallest id.
-3. Fingerprints within `max_distance` bits agree on some combination of bit blocks: of 7 blocks at
+3. The pivot table is computed once for each class: the Hamming distances of its fingerprint to many
+   reference fingerprints, packed in two numbers that go with it.
+4. Fingerprints within `max_distance` bits agree on some combination of bit blocks: of 7 blocks at
    most 4 can differ, so 3 agree. Each class is listed under all 35 combinations (pigeonhole). This
    only brings candidates together; no single pivot distance could serve as a key of a join, as
    distances to any one fingerprint are spread over a few values near 32.
-4. Among candidates, the pivot tables decide: the Hamming distances of each fingerprint to many
-   reference fingerprints are computed once. Distances of two fingerprints to the same pivot differ
+5. Among candidates, the pivot tables decide: distances of two fingerprints to the same pivot differ
    at most by the distance between the two, so a pair with a larger coordinate difference is
-   discarded; survivors are verified by their exact distance.
-5. Of each candidate list only a spanning forest of its links goes on, found by a search that drops
+   discarded; survivors are verified by their exact distance. A list is kept in the order of its first
+   coordinate, so that only a window of it is looked at.
+6. Of each candidate list only a spanning forest of its links goes on, found by a search that drops
    a fingerprint as soon as it is reached. That loses no connection, and a list of n near copies
    gives n-1 links, not all pairs. Lists above `CHUNK` are cut into chunks, and each pair of chunks
    is a list of its own.
-6. Components of the links are found by star contraction.
+7. Components of the links are found by star contraction.
+
+`similar` is for texts whose shingle sets have a Jaccard similarity of at least `SIMILARITY`, whose
+fingerprints differ in about ten bits. No exact combination of blocks brings these together, so
+classes (there: equal words) are listed under `BANDS` min-hash keys; pivot tables and distances of
+`WIDE` bits discard, and each link of the forests is verified by the exact similarity of its texts.
+Two texts at the least similarity share a list with probability 0.995.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any others. A text
 of fewer words than a shingle is one shingle. Rows that share an id are one document with several
 fingerprints' classes joined. A null id is never linked: its component is null. An empty table gives
-an empty result. Other columns are ignored, whatever their names.
+an empty result. Other columns are ignored, whatever their names; `keep_one` and `keep_one_similar`
+keep them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -43,29 +53,45 @@ BLOCKS = 7
 PIVOTS = 16
 CHUNK = 2048
 
+#: For `similar`: words of a shingle, least Jaccard similarity, largest distance, and min-hash keys of so many values each.
+SIMILAR_SHINGLE, SIMILARITY, WIDE, BANDS, BAND_VALUES = 5, 0.8, 18, 10, 4
+
+#: For `similar`: besides the forest, which a link that turns out too weak could tear, each text is linked to so many nearest ones of a list.
+NEAREST = 2
+
 _UPPER = bytes(range(65, 91))
 _LOWERED = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = HASH_SEED) -> int:
-    """The unsigned fingerprint of a UTF-8 text."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE, seed: int = HASH_SEED) -> Iterator[np.ndarray]:
+    """The unsigned hashes of a UTF-8 text's shingles, repeats included, some thousands at a time."""
     words = data.translate(_LOWERED).split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
-    step = 1 << 14  # of a long text, so many hashes have their bits counted at a time
+    step = 1 << 14
     for at in range(0, n, step):
-        hashes = np.array([digest(joined[i:j], seed) for i, j in zip(starts[at : at + step], stops[at : at + step])], dtype="<u8")
+        yield np.array([digest(joined[i:j], seed) for i, j in zip(starts[at : at + step], stops[at : at + step])], dtype="<u8")
+
+
+def fingerprint_of(parts: Iterable[np.ndarray]) -> int:
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(sum(1 << k for k in np.flatnonzero(2 * counts > n).tolist()))
 
 
+def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = HASH_SEED) -> int:
+    """The unsigned fingerprint of a UTF-8 text."""
+    return fingerprint_of(shingle_hashes(data, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = HASH_SEED) -> DataFrame:
     """(doc_id, fp) with fp as a signed long."""
 
@@ -92,13 +118,23 @@ def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ p) for p in pivots], axis=1).astype(np.int8)
 
 
+def with_pivots(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """classes with the pivot table's row of each fingerprint: eight distances to a number, `p0` and so on."""
+    for k in range(0, len(pivots), 8):
+        parts = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(np.uint64(p).view(np.int64))))).cast("long"), 8 * i) for i, p in enumerate(pivots[k : k + 8])]
+        classes = classes.withColumn(f"p{k // 8}", reduce(lambda a, b: a.bitwiseOR(b), parts))
+    return classes
+
+
 def make_pivots(n: int = PIVOTS, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
 
 
 def spanning_links(fps: np.ndarray, side: np.ndarray | None, table: np.ndarray, max_distance: int = MAX_DISTANCE) -> Iterator[tuple[int, int]]:
     """Links (i, j) of a spanning forest of the pairs within the distance; side: only pairs across sides count."""
-    sides = [np.arange(len(fps))] if side is None else [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
+    order = np.argsort(table[:, 0], kind="stable")
+    sides = [order] if side is None else [order[side[order] == k] for k in (0, 1)]
+    first = [table[x, 0] for x in sides]
     seen = np.zeros(len(fps), dtype=bool)
     for root in range(len(fps)):
         if seen[root]:
@@ -108,9 +144,10 @@ def spanning_links(fps: np.ndarray, side: np.ndarray | None, table: np.ndarray,
         while stack:
             i = stack.pop()
             k = 0 if side is None else 1 - int(side[i])
-            left = sides[k] = sides[k][~seen[sides[k]]]
-            near = left
-            for p in range(table.shape[1]):  # the maximum coordinate difference, pivot by pivot
+            # the maximum coordinate difference: a window by the first pivot, then pivot by pivot
+            near = sides[k][np.searchsorted(first[k], table[i, 0] - max_distance) : np.searchsorted(first[k], table[i, 0] + max_distance, side="right")]
+            near = near[~seen[near]]
+            for p in range(1, table.shape[1]):
                 if not len(near):
                     break
                 near = near[np.abs(table[near, p] - table[i, p]) <= max_distance]
@@ -119,6 +156,25 @@ def spanning_links(fps: np.ndarray, side: np.ndarray | None, table: np.ndarray,
             for j in near.tolist():
                 yield i, j
                 stack.append(j)
+        if 4 * np.count_nonzero(seen) > 3 * len(fps) and len(sides[0]) > 64:  # those that were reached go now and then
+            sides = [x[~seen[x]] for x in sides]
+            first = [table[x, 0] for x in sides]
+
+
+def nearest_links(fps: np.ndarray, side: np.ndarray | None, table: np.ndarray, max_distance: int, most: int) -> Iterator[tuple[int, int]]:
+    """Links (i, j) of each fingerprint to the `most` nearest within the distance; side: only pairs across sides count."""
+    order = np.argsort(table[:, 0], kind="stable")
+    sides = [order] if side is None else [order[side[order] == k] for k in (0, 1)]
+    first = [table[x, 0] for x in sides]
+    for i in range(len(fps)):
+        k = 0 if side is None else 1 - int(side[i])
+        near = sides[k][np.searchsorted(first[k], table[i, 0] - max_distance) : np.searchsorted(first[k], table[i, 0] + max_distance, side="right")]
+        near = near[near != i]
+        near = near[(np.abs(table[near] - table[i]) <= max_distance).all(axis=1)]
+        far = np.bitwise_count(fps[near] ^ fps[i])
+        for at in np.argsort(far, kind="stable")[:most]:
+            if far[at] <= max_distance:
+                yield i, int(near[at])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -139,17 +195,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
         yield tuple(rest)
 
 
-def _link(batches: Iterator[pa.RecordBatch], max_distance: int, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (which, key, c, d, mine, fp, rep) to links between classes."""
-    for which, key, c, d, mine, fp, rep in _lists(batches):
+def _link(batches: Iterator[pa.RecordBatch], max_distance: int, nearest: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (which, key, c, d, mine, fp, rep, p0, p1) to links between classes."""
+    for which, key, c, d, mine, fp, rep, *packed in _lists(batches):
         new = np.r_[True, (which[1:] != which[:-1]) | (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
         start = np.flatnonzero(new)
         length = np.diff(np.r_[start, len(new)])
         fps = fp.view(np.uint64)
-        many = np.repeat(length > 1, length)
-        table = np.zeros((len(fps), len(pivots)), dtype=np.int8)
-        if many.any():
-            table[many] = pivot_table(fps[many], pivots)
+        table = np.concatenate([np.ascontiguousarray(x).view(np.int8).reshape(-1, 8) for x in packed], axis=1)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         # lists of two, the most by far, all at once
         two = start[(length == 2)]
@@ -162,6 +215,8 @@ def _link(batches: Iterator[pa.RecordBatch], max_distance: int, pivots: np.ndarr
                 part = slice(s, s + n)
                 side = None if c[s] == d[s] else (mine[part] != c[s]).astype(np.int8)
                 got = list(spanning_links(fps[part], side, table[part], max_distance))
+                if nearest:
+                    got += nearest_links(fps[part], side, table[part], max_distance, nearest)
                 if got:
                     i, j = np.array(got).T
                     out.append((rep[part][i], rep[part][j]))
@@ -169,28 +224,32 @@ def _link(batches: Iterator[pa.RecordBatch], max_distance: int, pivots: np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def class_links(classes: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) of classes (fp, rep): links that connect all fingerprints within the distance; rep is their names."""
-    masks = F.array(*(F.lit(m) for m in block_masks(max_distance, blocks)))
-    keys = classes.select("fp", "rep", F.posexplode(masks).alias("which", "mask")).select("which", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
+def list_links(keys: DataFrame, max_distance: int, chunk: int = CHUNK, nearest: int = 0) -> DataFrame:
+    """(a, b): a spanning forest of the links in each list, and each fingerprint's links to so many nearest ones; keys: which, key (of a list), fp, rep (a class's name), p0, p1."""
     hot = cut_lineage(keys.groupBy("which", "key").count().where(F.col("count") > chunk).select("which", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
     dealt = keys.join(small(hot), ["which", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp", "rep", F.lit(3)), F.col("chunks")).cast("int"))
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    listed = dealt.select("which", "key", "mine", "fp", "rep", F.explode(other).alias("other"))
-    listed = listed.select("which", "key", F.least("mine", "other").alias("c"), F.greatest("mine", "other").alias("d"), "mine", "fp", "rep")
-    refs = make_pivots(pivots)
+    listed = dealt.select("which", "key", "mine", "fp", "rep", "p0", "p1", F.explode(other).alias("other"))
+    listed = listed.select("which", "key", F.least("mine", "other").alias("c"), F.greatest("mine", "other").alias("d"), "mine", "fp", "rep", "p0", "p1")
     by = ["which", "key", "c", "d"]
-    found = listed.repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(lambda it: _link(it, max_distance, refs), "a long, b long")
-    return found
+    return listed.repartition(*by).sortWithinPartitions(*by, "fp", "rep").mapInArrow(lambda it: _link(it, max_distance, nearest), "a long, b long")
+
+
+def class_links(classes: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """(a, b) of classes (fp, rep): links that connect all fingerprints within the distance; rep is their names."""
+    masks = F.array(*(F.lit(m) for m in block_masks(max_distance, blocks)))
+    known = with_pivots(classes.select("fp", "rep"), make_pivots(PIVOTS))
+    keys = known.select("fp", "rep", "p0", "p1", F.posexplode(masks).alias("which", "mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    return list_links(keys, max_distance, chunk)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """Per document: doc_id, fingerprint and component_id, the smallest id that links reach."""
     known = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     named = known.where(F.col("doc_id").isNotNull())
     classes = cut_lineage(named.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = class_links(classes, max_distance, blocks, pivots, chunk)
+    links = class_links(classes, max_distance, blocks, chunk)
     # an id with several fingerprints links their classes
     own = named.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where(F.col("lo") != F.col("hi")).select("doc_id")
     several = named.join(own, "doc_id").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -200,8 +259,95 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the ids of gone; their columns can have any names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    gone = cut_lineage(gone.select(F.col("doc_id").alias("id")).distinct())
+    kept = rows.join(small(gone), "id", "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs without those that a smaller id of their group stands for; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col, **kw)
-    gone = cut_lineage(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")))
-    return docs.join(small(gone), F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")), id_col)
+
+
+SKETCH = "doc_id long, th long, content binary, fp long, keys array<long>"
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, bands: int = BANDS, values: int = BAND_VALUES, seed: int = HASH_SEED) -> DataFrame:
+    """Per row with an id: doc_id, th (hash of its text), content (hash of its words), fp, and min-hash keys."""
+    rng = np.random.default_rng(seed)
+    times = rng.integers(0, 1 << 63, bands * values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 1 << 63, bands * values, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data in batch.column(2).cast(pa.binary()).to_pylist():
+                least = np.full(bands * values, np.iinfo(np.uint64).max, dtype=np.uint64)
+                parts = list(shingle_hashes(data or b"", shingle, seed))
+                for h in parts:
+                    for at in range(0, len(h), 1024):
+                        mixed = h[at : at + 1024, None] * times + plus
+                        least = np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=0))
+                own = least.reshape(bands, values)
+                keys = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in own]
+                words = b" ".join((data or b"").translate(_LOWERED).split())
+                rows.append((xxhash.xxh3_128_digest(words), fingerprint_of(parts), keys))
+            cols = list(zip(*rows)) or [()] * 3
+            fps = np.array(cols[1], dtype=np.uint64).view(np.int64)
+            keys = [np.array(x, dtype=np.uint64).view(np.int64) for x in cols[2]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.binary()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=[x.split()[0] for x in SKETCH.split(", ")])
+
+    return _hashed(docs, id_col, text_col).where(F.col("doc_id").isNotNull()).select("doc_id", "th", "text").mapInArrow(run, SKETCH)
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return with_id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def jaccard(a: bytes, b: bytes, shingle: int = SIMILAR_SHINGLE) -> float:
+    """Similarity of two texts' shingle sets; of two empty ones 1."""
+    x, y = ({h for part in shingle_hashes(t, shingle) for h in part.tolist()} for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _verified(links: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) between classes whose texts are similar enough. Texts move once, to the links that they are an end of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [jaccard(x.encode(), y.encode(), shingle) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("rep")).join(classes.select("rep", "doc_id", "th"), "rep")
+    found = ends.join(texts, ["doc_id", "th"]).select("a", "b", F.coalesce("text", F.lit("")).alias("text"), (F.col("rep") == F.col("a")).alias("first"))
+    pairs = found.groupBy("a", "b").agg(F.max_by("text", F.col("first")).alias("x"), F.min_by("text", F.col("first")).alias("y"))
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, max_distance: int = WIDE, bands: int = BANDS, values: int = BAND_VALUES, chunk: int = CHUNK) -> DataFrame:
+    """Per row with an id: doc_id and component_id, the smallest id that links of at least the similarity reach."""
+    known = cut_lineage(sketches(docs, id_col, text_col, shingle, bands, values))
+    one = F.min(F.struct("doc_id", "th", "fp", "keys")).alias("one")  # its row with the smallest id names a class
+    classes = cut_lineage(known.groupBy("content").agg(one).select("content", "one.*")).withColumn("rep", F.monotonically_increasing_id())
+    table = with_pivots(classes, make_pivots(PIVOTS))
+    keys = table.select("fp", "rep", "p0", "p1", F.posexplode("keys").alias("which", "key"))
+    links = list_links(keys, max_distance, chunk, NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ok = _verified(links, classes, _hashed(docs, id_col, text_col), shingle, similarity)
+    # an id with several texts links their classes
+    named = known.select("doc_id", "content").join(classes.select("content", "rep"), "content")
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where(F.col("a") < F.col("z"))
+    several = named.join(several, "doc_id").where(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b"))
+    found = components(ok.unionByName(several))
+    group = classes.select("rep", "doc_id", "content").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = cut_lineage(group.join(least, "component").select("content", "component_id"))
+    return known.select("doc_id", "content").join(labels, "content").select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """docs without those that a smaller id of their group of `similar` stands for; rows with a null id stay."""
+    return _without(docs, similar(docs, id_col, text_col, **kw).where(F.col("doc_id") != F.col("component_id")), id_col)
