@@ -1,8 +1,6 @@
 import random
 import re
 
-import pytest
-
 from tilesieve.llm import quality_rules as q
 
 PROSE = "the quick brown fox jumps over a lazy dog while seven wizards brew potent ale in quiet jars near old mill ponds and nobody asks why they keep on dancing through misty mornings with wet boots full of tiny pebbles or sing about summers gone where swallows once made homes under warm clay roofs"
@@ -37,13 +35,31 @@ def test_order_never_changes_the_verdict(spark):
 
 
 def test_order_is_by_rejections_per_cost():
-    assert q.cascade_order({"a": (1.0, 0.5), "b": (0.1, 0.1), "c": (0.001, 0.0)}, dict.fromkeys("abc")) == ["b", "a", "c"]
+    m = q.Measured(100, {"a": 1.0, "b": 0.1, "c": 0.001}, {frozenset(): 45, frozenset("a"): 45, frozenset("b"): 10})
+    assert q.cascade_order(m, dict.fromkeys("abc")) == ["b", "a", "c"]
+
+
+def test_selectivity_is_conditional():
+    """b rejects most, but hardly anything that a lets through; c's rejections are its own."""
+    m = q.Measured(100, {"a": 1.0, "b": 1.2, "c": 1.0}, {frozenset(): 30, frozenset("ab"): 50, frozenset("b"): 1, frozenset("c"): 19})
+    assert q.cascade_order(m, dict.fromkeys("abc")) == ["a", "c", "b"]
 
 
-def test_measured_on_a_sample(spark):
-    df = spark.createDataFrame([(i, PROSE.upper() if i % 2 else PROSE) for i in range(40)], "doc_id long, text string")
+def test_measured_among_documents_that_the_base_rules_let_through(spark):
+    texts = [PROSE, PROSE.upper(), "few words", "x y z " * 60]
+    df = spark.createDataFrame([(i, texts[i % 4]) for i in range(80)], "doc_id long, text string")
     found = q.measure(df)
-    assert set(found) == set(q.RULES) and found["shouting"][1] == pytest.approx(0.5) and all(s > 0 for s, _ in found.values())
+    assert found.documents == 40 and found.together == {frozenset(): 20, frozenset({"shouting"}): 20}
+    assert set(found.seconds) == set(q.RULES) and all(s > 0 for s in found.seconds.values())
+    none = q.measure(df.where("doc_id % 4 = 2"))
+    assert none.documents == 0 and sorted(q.cascade_order(none)) == sorted(q.RULES)
+
+
+def test_sample_is_spread_over_the_table(spark):
+    # the first rows alone would tell nothing of the others
+    df = spark.range(20_000, numPartitions=8).selectExpr("id AS doc_id", f"if(id < 15000, '{PROSE}', upper('{PROSE}')) AS text")
+    found = q.measure(df, rows=1000)
+    assert 800 < found.documents < 1200 and 0.2 < found.together[frozenset({"shouting"})] / found.documents < 0.3
 
 
 def test_edge_tables(spark):

@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
 Two fixed base rules come first: too few words, and too many words in repeated 3-word windows. The
-further rules look for mark-up junk, shouting, lists of one word and the like. Each rule's cost and
-rejection rate is measured on a bounded sample; the rules then run in order of rejections per
-second, and a document is done at the first rule that rejects it. The order decides how much work
-is done, never the verdict: a document is kept if no rule rejects it, in whatever order they run.
+further rules look for mark-up junk, shouting, lists of one word and the like. Each rule's cost, and
+which rules reject together, is measured in tasks on a sample from all over the table, among the
+documents that the base rules let through. The rule with the most rejections per second comes first,
+then the one with the most among the documents that are left, and so on; a document is done at the
+first rule that rejects it. The order decides how much work is done, never the verdict: a document is
+kept if no rule rejects it, in whatever order they run.
 
 Defined results: a null or empty text has no words, all its counts are 0 and it is rejected. A row
 with a null id is treated as any other. Repeated rows get a row each. An empty table gives an empty
@@ -17,10 +19,13 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tilesieve.llm.common import id_text_batches, with_id_and_text
 
@@ -28,8 +33,8 @@ from tilesieve.llm.common import id_text_batches, with_id_and_text
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 
-#: Rows of the sample on which costs and rejections are estimated. It decides the order of the rules only.
-SAMPLE_ROWS = 512
+#: Expected rows of the sample on which costs and rejections are estimated. It decides the order of the rules only.
+SAMPLE_ROWS = 2048
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
@@ -119,30 +124,61 @@ RULES: dict[str, Callable[[Text], bool]] = {
 }
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, rules: dict | None = None) -> dict[str, tuple[float, float]]:
-    """Of each rule: seconds a document and share of documents rejected, on the table's first `rows` rows.
+@dataclass
+class Measured:
+    """Of the sampled documents that the base rules let through: seconds of each rule, and how many documents each set of rules rejects."""
 
-    The sample is read by as few tasks as hold it, and measured on the driver.
+    documents: int
+    seconds: dict[str, float]
+    together: dict[frozenset[str], int]
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, rules: dict | None = None, seed: int = 3) -> Measured:
+    """Costs and rejections of the rules on about `rows` rows from all over the table.
+
+    Texts stay in their tasks; what comes to the driver is a row for each set of rules that some
+    document breaks.
     """
-    texts = [(r.text or "").encode() for r in with_id_and_text(docs, id_col, text_col).select("text").limit(rows).collect()]
-    found = {}
-    for name, rule in (RULES if rules is None else rules).items():
-        seconds, hits = 0.0, 0
-        for data in texts:
-            t = Text(data)
-            t.n_words  # every document's words are split before the cascade
-            began = time.perf_counter()
-            hit = rule(t)
-            seconds += time.perf_counter() - began
-            hits += bool(hit)
-        found[name] = (seconds / len(texts), hits / len(texts)) if texts else (0.0, 0.0)
-    return found
-
-
-def cascade_order(measured: dict[str, tuple[float, float]], rules: dict | None = None) -> list[str]:
-    """Rules by rejections per second, most first; ties, and rules that rejected nothing, by cost and then by name."""
-    known = {k: measured.get(k, (0.0, 0.0)) for k in (RULES if rules is None else rules)}
-    return sorted(known, key=lambda k: (-known[k][1] / max(known[k][0], 1e-9), known[k][0], k))
+    rules = RULES if rules is None else rules
+    names = list(rules)
+    total = docs.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seconds: dict[int, np.ndarray] = {}
+            times: Counter = Counter()
+            for data in batch.column(0).cast(pa.binary()).to_pylist():
+                if any(rule(Text(data or b"")) for rule in BASE.values()):
+                    continue
+                broken, took = 0, np.zeros(len(names))
+                for k, name in enumerate(names):
+                    t = Text(data)
+                    t.n_words  # every document's words are split before the cascade
+                    began = time.perf_counter()
+                    broken |= bool(rules[name](t)) << k
+                    took[k] = time.perf_counter() - began
+                times[broken] += 1
+                seconds[broken] = seconds.get(broken, 0) + took
+            yield pa.RecordBatch.from_arrays([pa.array(times, pa.int64()), pa.array(times.values(), pa.int64()), pa.array([seconds[k].tolist() for k in times], pa.list_(pa.float64()))], names=["broken", "n", "seconds"])
+
+    sample = with_id_and_text(docs, id_col, text_col).select("text").sample(min(1.0, rows / max(1, total)), seed)
+    sums = [F.sum(F.col("seconds")[k]).alias(f"s{k}") for k in range(len(names))]
+    found = sample.mapInArrow(run, "broken long, n long, seconds array<double>").groupBy("broken").agg(F.sum("n").alias("n"), *sums).collect()
+    together = {frozenset(x for k, x in enumerate(names) if r["broken"] >> k & 1): r["n"] for r in found}
+    return Measured(sum(together.values()), {x: float(sum(r[f"s{k}"] for r in found)) for k, x in enumerate(names)}, together)
+
+
+def cascade_order(measured: Measured, rules: dict | None = None) -> list[str]:
+    """Rules by rejections per second among the documents that earlier ones let through; ties, and rules that reject nothing more, by cost and then by name."""
+    left, out = dict(measured.together), []
+    todo = set(RULES if rules is None else rules)
+    while todo:
+        hits = {k: sum(n for broken, n in left.items() if k in broken) for k in todo}
+        cost = {k: measured.seconds.get(k, 0.0) for k in todo}
+        out.append(min(todo, key=lambda k: (-hits[k] / max(cost[k], 1e-9), cost[k], k)))
+        todo.remove(out[-1])
+        left = {broken: n for broken, n in left.items() if out[-1] not in broken}
+    return out
 
 
 def keeps(t: Text, order: Sequence[str], rules: dict) -> bool:
