@@ -1,8 +1,12 @@
+import gzip
+import hashlib
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tilesieve.llm import revisits as rv
+from tilesieve.llm import warc
 
 SCHEMA = "record_id long, url string, captured long, kind string, etag string, modified string, headers map<string,string>, span int"
 
@@ -36,8 +40,21 @@ def test_as_of_join_equals_brute_force(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     key = {r.record_id: r.k for r in df.select("record_id", rv.canonical_url(F.col("url")).alias("k")).collect()}
     want = brute(rows, key)
-    for span in (7, 4096):
-        assert {r.record_id: (r.status, r.source_id) for r in rv.resolve(df, span).collect()} == want
+    for parts in (1, 4, 40):  # the hot address lies in several parts
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert {r.record_id: (r.status, r.source_id) for r in rv.resolve(df).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_many_records_at_one_time(spark):
+    rows = [(i, "u", 5, "response" if i % 2 else "revisit", None, None, None, 0) for i in range(3000)]
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        assert {(r.status, r.source_id) for r in rv.resolve(spark.createDataFrame(rows, SCHEMA)).collect()} == {("unchecked", 2999)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
 def test_canonical_urls(spark):
@@ -63,8 +80,51 @@ def test_edges(spark):
     assert rv.resolve(df.limit(0)).count() == 0
 
 
-def test_pages(spark):
+def test_crawled_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = rv.revisited_pages(pages).collect()
-    assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in pages.collect())
-    assert all("date: " + str(r.captured) in r.headers for r in rows if r.status == "resolved")
+    assert {r.page_id for r in rows} == {r.page_id for r in pages.collect()} and len({r.record_id for r in rows}) == len(rows)
+    share = Counter(r.status for r in rows)
+    assert set(share) == {"resolved", "changed", "unchecked", "unmatched"} and min(share.values()) >= 0.05 * len(rows)
+    assert all(r.source_id < r.record_id and r.body_md5 for r in rows if r.status == "resolved" and r.source_id // 4 == r.page_id)
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in rows:
+        if r.source_id is not None:
+            page, k = divmod(r.source_id, 4)
+            body = (html[page] + ("<!-- 1 -->" if page % 8 in (1, 2) and k else "")).encode()
+            assert (r.body_bytes, r.body_md5) == (len(body), hashlib.md5(body).hexdigest()) and f"date: {r.captured}" in r.headers
+
+
+def test_records_of_a_crawl_are_warc(spark):
+    pages = spark.createDataFrame([(8, "http://a.example/x?y=1", "<p>ü</p>"), (9, "http://b.example", None), (12, "https://www.c.example/z/#t", "c" * 200_000)], "page_id long, url string, html string")
+    raw = [bytes(r.warc) for r in rv.crawl(pages).orderBy("record_id").collect()]
+    assert len(raw) == 12 and all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in raw)
+    ((fields, block),) = list(warc.split(raw[2]))
+    assert fields["WARC-Type"] == "response" and fields["WARC-Record-ID"] == "<urn:record:34>" and fields["WARC-Target-URI"] == "HTTP://A.EXAMPLE/x?y=1"
+    headers, body = warc.http(block)
+    assert body.decode() == "<p>ü</p>" and headers["ETag"].strip('"') == hashlib.md5("<p>ü</p>#0".encode()).hexdigest()
+    ((fields, _),) = list(warc.split(raw[0]))
+    assert fields["WARC-Type"] == "revisit" and fields["WARC-Profile"] == warc.NOT_MODIFIED
+
+
+def test_files_round_trip(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    records = rv.crawl(pages)
+    want = sorted(map(tuple, warc.parse(records).select("record_id", "url", "captured", "kind", "etag", "modified", "body").collect()))
+    assert len(want) == 4 * pages.count() and all(w[2] == rv.BEGIN + w[0] % 4 * rv.APART + w[0] // 4 for w in want)
+    parts = [bytes(r.member) for r in warc.members(records).collect()]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(parts[: len(parts) // 2]))
+    (tmp_path / "w" / "b.warc").write_bytes(b"".join(map(gzip.decompress, parts[len(parts) // 2 :])))
+    got = warc.read(spark, str(tmp_path / "w"))
+    assert sorted(map(tuple, got.select("record_id", "url", "captured", "kind", "etag", "modified", "body").collect())) == want
+    assert rv.resolve(got.drop("body")).count() == sum(w[3] == "revisit" for w in want)
+
+
+def test_odd_records(spark):
+    ok = b"WARC/1.0\r\nWARC-Type: request\r\nContent-Length: 3\r\nX: a\r\n  b\r\n\r\nabc\r\n\r\n"
+    cut = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 30\r\n\r\nabc"
+    rows = [(b"",), (None,), (b"junk",), (ok + cut,), (ok + ok,), (b"WARC/1.0\r\nContent-Length: x\r\n\r\n",)]
+    got = warc.parse(spark.createDataFrame(rows, "warc binary")).collect()
+    assert len(got) == 3 and all((r.kind, r.record_id, r.captured, r.url, bytes(r.body), r.headers) == ("request", None, None, None, b"abc", {}) for r in got)
+    assert warc._fields([b"X: a", b"  b", b"no colon", b"Y:c"]) == {"X": "a b", "Y": "c"}

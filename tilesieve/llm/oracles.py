@@ -27,19 +27,29 @@ FROM judged
 """
 
 REVISITS = r"""
-WITH bare AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', ''),
+WITH bare AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', ''),
     '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+$', '') AS u FROM pages),
-p AS (SELECT page_id, md5(coalesce(html, '')) AS etag,
+p AS (SELECT page_id, html, page_id % 8 AS way,
              regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^(www|m)\.', '') || regexp_replace(regexp_replace(u, '^[^/?]*', ''), '/+$', '') AS url_key FROM bare),
-r AS (SELECT page_id, etag, url_key, page_id + 1000 AS captured FROM p),
-j AS (SELECT r.page_id, r.url_key, r.captured, r.etag AS e, p.page_id AS q, p.etag AS f FROM r ASOF LEFT JOIN p ON r.url_key = p.url_key AND r.captured >= p.page_id),
-s AS (SELECT *, CASE WHEN q IS NULL THEN 'unmatched'
-                     WHEN page_id % 3 <> 0 AND q % 3 <> 0 THEN CASE WHEN e = f THEN 'resolved' ELSE 'changed' END
-                     WHEN page_id % 5 <> 0 AND q % 5 <> 0 THEN CASE WHEN page_id = q THEN 'resolved' ELSE 'changed' END
-                     ELSE 'unchecked' END AS status FROM j)
-SELECT page_id, url_key, captured, status, CASE WHEN status IN ('resolved', 'unchecked') THEN q END AS source_page_id,
-       CASE WHEN status IN ('resolved', 'unchecked') THEN 'cache-control: max-age=600; content-type: text/html; date: ' || captured || '; server: origin' ELSE '' END AS headers
-FROM s
+v AS (SELECT *, page_id * 4 + k AS record_id, 1700000000 + k * 2592000 + page_id % 2592000 AS captured,
+             CASE WHEN way = 0 THEN k = 2 WHEN way IN (1, 2) THEN k <= 1 ELSE k = 0 END AS full_,
+             CASE WHEN way IN (1, 2) AND k >= 1 THEN 1 ELSE 0 END AS version FROM p, unnest(range(4)) t(k)),
+r AS (SELECT *, CASE WHEN way IN (4, 6) OR (way = 7 AND NOT full_) THEN NULL
+                     ELSE md5(html || '#' || CASE WHEN way = 3 AND k = 2 THEN 9 WHEN way = 1 AND k = 3 THEN 0 ELSE version END) END AS tag,
+             CASE WHEN way = 6 AND k = 3 THEN 'day 2' WHEN way IN (6, 7) THEN 'day 1' END AS modified,
+             html || CASE WHEN version = 1 THEN '<!-- 1 -->' ELSE '' END AS body FROM v),
+j AS (SELECT a.record_id, max_by(b.record_id, (b.captured, b.record_id)) AS q FROM r a JOIN r b ON a.url_key = b.url_key AND b.full_ AND b.captured <= a.captured WHERE NOT a.full_ GROUP BY a.record_id),
+s AS (SELECT a.*, b.record_id AS q, b.tag AS source_tag, b.modified AS source_modified, b.body AS source_body,
+             CASE WHEN b.record_id IS NULL THEN 'unmatched'
+                  WHEN a.tag IS NOT NULL AND b.tag IS NOT NULL THEN CASE WHEN a.tag = b.tag THEN 'resolved' ELSE 'changed' END
+                  WHEN a.modified IS NOT NULL AND b.modified IS NOT NULL THEN CASE WHEN a.modified = b.modified THEN 'resolved' ELSE 'changed' END
+                  ELSE 'unchecked' END AS status
+      FROM r a LEFT JOIN j ON a.record_id = j.record_id LEFT JOIN r b ON b.record_id = j.q WHERE NOT a.full_),
+t AS (SELECT *, status IN ('resolved', 'unchecked') AS ok, CASE WHEN tag IS NOT NULL THEN CASE WHEN way = 5 THEN 'W/' ELSE '' END || '"' || tag || '"' ELSE '"' || source_tag || '"' END AS etag FROM s)
+SELECT record_id, page_id, url_key, captured, status, CASE WHEN ok THEN q END AS source_id,
+       CASE WHEN ok THEN 'cache-control: max-age=600; content-type: text/html; date: ' || captured || coalesce('; etag: ' || etag, '') || coalesce('; last-modified: ' || source_modified, '') || '; server: origin' ELSE '' END AS headers,
+       CASE WHEN ok THEN octet_length(encode(source_body)) END AS body_bytes, CASE WHEN ok THEN md5(source_body) END AS body_md5
+FROM t
 """
 
 

@@ -5,10 +5,15 @@ resolved by the latest earlier full response of the same canonical URL. Validato
 entity tag if both records have one, else the modification date if both have one); if they hold,
 the record becomes the earlier response with those headers of the revisit that a 304 may update.
 
-The join is a running last value over the records of a URL in order of time. A URL's records are cut
-into spans of time, so that no task gets all records of a URL that holds a third of all rows; the
-last response of each span is carried on to the spans after it. Only ids, validators and headers
-move; bodies stay where they are and are fetched by the id of the record that was found.
+The join is a running last value over the records of a URL in order of time. Records are dealt by
+ranges of URL, time and id, so that a URL that holds a third of all rows, even at one time, lies in as
+many parts as it fills; the last response of each part is carried on to the URL's parts after it.
+Only ids, validators and headers move; bodies stay where they are and are fetched by the id of the
+record that was found.
+
+Records are read from WARC bytes and written as such by `warc`. `crawl` makes a crawl of a table of
+pages: four visits to each page, with addresses written in several ways, changed contents, revisits
+before any response, weak, missing and outdated validators.
 
 Defined results: a revisit without an earlier response is `unmatched`; one whose validators differ
 is `changed`; one without comparable validators is `unchecked`, and resolved. Records with a null
@@ -23,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilesieve.llm import warc
+from tilesieve.llm.common import cut_lineage
+
 #: Headers that a not-modified answer may update, in lower case.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
-#: Times of one span.
-SPAN = 4096
-
 
 def canonical_url(url: Column) -> Column:
     """Without scheme, fragment, leading `www.` or `m.`, port 80 or 443, tracking parameters, empty query and closing slashes; host in lower case."""
@@ -41,7 +46,7 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, rest)
 
 
-def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
+def resolve(records: DataFrame) -> DataFrame:
     """Per revisit of records: record_id, url_key, captured, status, source_id, headers (merged).
 
     records: record_id long, url string, captured long, kind string (`response` or `revisit`), etag
@@ -56,10 +61,12 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
         "modified",
         F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
     ).where(F.col("kind").isin("response", "revisit"))
-    known = known.withColumn("part", F.floor(F.col("captured") / span))
+    by = ["url_key", "captured", "revisit", "record_id"]
+    # written, so that a row's part is the same wherever it is read
+    known = cut_lineage(known.repartitionByRange(*by)).withColumn("part", F.spark_partition_id())
     full = F.when(~F.col("revisit") & F.col("url_key").isNotNull() & F.col("captured").isNotNull(), F.struct("captured", "record_id", "etag", "modified", "headers"))
     known = known.withColumn("full", full)
-    # of each span the last response, and of those the last one before the span
+    # of each part the last response, and of those the last one before the part
     plain = F.struct("full.captured", "full.record_id")
     ends = known.where(F.col("full").isNotNull()).groupBy("url_key", "part").agg(F.max_by("full", plain).alias("end"))
     order = W.partitionBy("url_key").orderBy("part")
@@ -103,34 +110,69 @@ def with_bodies(resolved: DataFrame, responses: DataFrame, id_col: str = "record
     return resolved.join(bodies, F.col("source_id") == F.col("_source"), "left").drop("_source")
 
 
-#: Times between the capture of a page and its revisit in `page_records`.
-LATER = 1000
+#: A crawl visits every page so often, so many seconds apart, from this time on.
+VISITS, APART, BEGIN = 4, 2_592_000, 1_700_000_000
 
 
-def page_records(pages: DataFrame, later: int = LATER) -> DataFrame:
-    """WARC records of pages: each page is captured at the time of its id, and asked for again later, when the server answers 304.
+def crawl(pages: DataFrame) -> DataFrame:
+    """(record_id, warc): the WARC records, as bytes, of a crawl of pages (page_id, url, html).
 
-    The entity tag is the digest of the page; every third page has none, and every fifth no
-    modification date either.
+    Record 4 x page_id + k is visit k. By page_id modulo 8: 0 is first answered in full at visit 2; 1 and
+    2 have a new content at visit 1; 3 names an unknown content at visit 2; 4 has no validators; 5 has
+    weak tags in revisits; 6 has modification dates only, another one at visit 3; 7 has no tag in
+    revisits. Revisits of 1 name the first content at visit 3.
     """
-    page = F.col("page_id").cast("long")
-    etag = F.when(page % 3 != 0, F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"')))
-    modified = F.when(page % 5 != 0, page.cast("string"))
-    static = {"Content-Type": F.lit("text/html"), "Server": F.lit("origin")}
-    heads = lambda when, age, **more: F.create_map(*(x for k, v in ({"Date": when.cast("string"), "Cache-Control": F.lit(age)} | more).items() for x in (F.lit(k), v)))
-    first = pages.select((page * 2).alias("record_id"), "url", page.alias("captured"), F.lit("response").alias("kind"), etag.alias("etag"), modified.alias("modified"), heads(page, "max-age=60", **static).alias("headers"))
-    again = pages.select((page * 2 + 1).alias("record_id"), "url", (page + later).alias("captured"), F.lit("revisit").alias("kind"), etag.alias("etag"), modified.alias("modified"), heads(page + later, "max-age=600", Server=F.lit("cache")).alias("headers"))
-    return first.unionByName(again)
-
-
-def revisited_pages(pages: DataFrame, later: int = LATER, span: int = SPAN) -> DataFrame:
-    """Per page: its revisit's status, the page whose capture it stands for, and the merged headers."""
-    found = resolve(page_records(pages, later), span)
-    return found.select(
-        F.expr("(record_id - 1) div 2").alias("page_id"),
-        "url_key",
-        "captured",
-        "status",
-        F.expr("source_id div 2").alias("source_page_id"),
-        F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; "), F.lit("")).alias("headers"),
-    )
+    page, k, way = F.col("page_id").cast("long"), F.col("k"), F.pmod(F.col("page_id").cast("long"), F.lit(8))
+    html = F.coalesce("html", F.lit(""))
+    full = F.when(way == 0, k == 2).when(way.isin(1, 2), k <= 1).otherwise(k == 0)
+    version = F.when(way.isin(1, 2) & (k >= 1), 1).otherwise(0)
+    named = F.when((way == 3) & (k == 2), 9).when((way == 1) & (k == 3), 0).otherwise(version)
+    tag = F.concat(F.lit('"'), F.md5(F.concat(html, F.lit("#"), named.cast("string")).cast("binary")), F.lit('"'))
+    etag = F.when(way.isin(4, 6) | ((way == 7) & ~F.col("full")), None).when((way == 5) & ~F.col("full"), F.concat(F.lit("W/"), tag)).otherwise(tag)
+    modified = F.when(way.isin(6, 7), F.concat(F.lit("day "), F.when((way == 6) & (k == 3), 2).otherwise(1).cast("string")))
+    start = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*", 0)
+    url = F.when(k == 1, F.concat("url", F.lit("#again"))).when(k == 2, F.concat(F.upper(start), F.expr("substr(url, length(regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0)) + 1)")))
+    url = url.when(k == 3, F.concat("url", F.when(F.instr("url", "?") > 0, "&").otherwise("?"), F.lit("utm_source=x"))).otherwise(F.col("url"))
+    captured = F.lit(BEGIN) + k * APART + F.pmod(page, F.lit(APART))
+    visits = pages.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(VISITS - 1))).alias("k")).withColumn("full", full)
+    body = F.when(F.col("full"), F.concat(html, F.when(version == 1, "<!-- 1 -->").otherwise("")))
+    return visits.select((page * VISITS + k).alias("record_id"), _warc(page * VISITS + k, url, captured, F.col("full"), etag, modified, body).alias("warc"))
+
+
+def _warc(record_id: Column, url: Column, captured: Column, full: Column, etag: Column, modified: Column, body: Column) -> Column:
+    """The bytes of a response or of a server-not-modified revisit."""
+    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
+    when = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(captured), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    http = F.concat(
+        F.when(full, "HTTP/1.1 200 OK\r\n").otherwise("HTTP/1.1 304 Not Modified\r\n"),
+        line("Date", captured.cast("string")),
+        F.when(full, "Cache-Control: max-age=60\r\nContent-Type: text/html\r\nServer: origin\r\n").otherwise("Cache-Control: max-age=600\r\nServer: cache\r\n"),
+        line("ETag", etag),
+        line("Last-Modified", modified),
+        F.lit("\r\n"),
+        F.coalesce(body, F.lit("")),
+    ).cast("binary")
+    head = F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: "),
+        F.when(full, "response\r\n").otherwise(f"revisit\r\nWARC-Profile: {warc.NOT_MODIFIED}\r\n"),
+        F.lit("WARC-Record-ID: <urn:record:"),
+        record_id.cast("string"),
+        F.lit(">\r\n"),
+        line("WARC-Target-URI", url),
+        line("WARC-Date", when),
+        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
+        F.length(http).cast("string"),
+        F.lit("\r\n\r\n"),
+    ).cast("binary")
+    return F.concat(head, http, F.lit(b"\r\n\r\n"))
+
+
+def revisited_pages(pages: DataFrame) -> DataFrame:
+    """Per revisit of a crawl of pages: record_id, page_id, url_key, captured, status, source_id, the merged headers, and bytes and MD5 of the body that it stands for."""
+    records = warc.parse(crawl(pages))
+    found = resolve(records.drop("body"))
+    # each body is fetched once, however many revisits stand for it
+    bodies = records.where(F.col("kind") == "response").select("record_id", F.length("body").cast("long").alias("body_bytes"), F.md5("body").alias("body_md5"))
+    joined = found.join(bodies.withColumnRenamed("record_id", "source_id"), "source_id", "left")
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
+    return joined.select("record_id", F.expr(f"record_id div {VISITS}").alias("page_id"), "url_key", "captured", "status", "source_id", F.coalesce(headers, F.lit("")).alias("headers"), "body_bytes", "body_md5")
