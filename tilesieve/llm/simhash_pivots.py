@@ -343,8 +343,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     several = named.join(several, "doc_id").where(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b"))
     found = components(ok.unionByName(several))
     group = classes.select("rep", "doc_id", "content").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = group.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = cut_lineage(group.join(least, "component").select("content", "component_id"))
+    group = cut_lineage(group)
+    # written before the join, whose hot groups can then be split
+    least = cut_lineage(group.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")).where("classes > 1").drop("classes"))
+    labels = cut_lineage(group.join(small(least), "component", "left").select("content", F.coalesce("component_id", "doc_id").alias("component_id")))
     return known.select("doc_id", "content").join(labels, "content").select("doc_id", "component_id")
 
 
