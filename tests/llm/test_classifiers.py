@@ -79,7 +79,7 @@ def test_sample_equals_brute_force(spark):
     rows = sorted((r.doc_id, r.toxic, r.text or "") for r in docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 <> 2").collect())
     of, chosen = slow_sample([r[1:] for r in rows])
     assert x.rows == [(y, sorted(fs & chosen)) for y, fs in of]
-    assert x.classes and len(x.pairs) > 10 and sum(x.often) > 500
+    assert x.classes and len(x.pairs) >= 5 and sum(x.often) > 500
     want = Counter()
     group = {w: c for c in x.classes for w in c}
     assert len(group) == sum(map(len, x.classes)) and not set(group) & {t for g in tox.IDENTITY_TERMS for t in g}

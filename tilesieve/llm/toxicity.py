@@ -66,7 +66,7 @@ DIMENSIONS = 1 << 30
 BEGINNINGS = (4, 5, 6, 7)
 
 #: A feature has a weight only if so many sampled rows have it, and its shares in the classes are so many standard errors apart.
-LEAST, APART = 3, 2.5
+LEAST, APART = 3, 3.0
 
 #: Mined terms stand in at least this share of the clean sampled rows and in so many rows of either class; a class of them has so many words, and its language is told by so many frequent words.
 CLEAN_SHARE, CLEAN_ROWS, CLASS_WORDS, ANCHORS = 0.01, 5, 4, 16
@@ -76,7 +76,7 @@ CLEAN_SHARE, CLEAN_ROWS, CLASS_WORDS, ANCHORS = 0.01, 5, 4, 16
 COUNTERFACTUAL = 0.3
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def word_features(word: str) -> tuple[int, ...]:
     """Hashed features of a lower-case word: the word, and its beginnings."""
     return tuple(xxhash.xxh3_64_intdigest(x) % DIMENSIONS for x in (word, *("^" + word[:n] for n in BEGINNINGS if len(word) > n)))
@@ -113,18 +113,29 @@ def counterparts(terms: Sequence[Sequence[str]], chosen: Container[int] | None =
 def swaps(text: str, kinds: dict[str, list[str]], chosen: Container[int] | None = None) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
     """For each sentence with a term and each counterpart that it doesn't have: the features lost and won by the swap, of the chosen ones; swaps without any are left out."""
     out = []
+    counts = (lambda f: True) if chosen is None else (lambda f: f in chosen or twice(f) in chosen)
     for sentence in _SENTENCE.split(text.lower()):
         words = set(_WORD.findall(sentence))
-        for term in sorted(words & kinds.keys()):
-            before = None
+        terms = sorted(words & kinds.keys())
+        if not terms:
+            continue
+        times = Counter(f for w in words for f in word_features(w) if counts(f))
+        for term in terms:
+            own = word_features(term)
             for other in kinds[term]:
                 if other in words:
                     continue
-                before = features(words) if before is None else before
-                after = features(words - {term} | {other})
-                lost, won = (tuple(sorted(f for f in x if chosen is None or f in chosen)) for x in (before - after, after - before))
+                # only features of the two can change
+                lost, won = [], []
+                theirs = word_features(other)
+                for f in {*own, *theirs}:
+                    before = times.get(f, 0)
+                    after = before - (f in own) + (f in theirs)
+                    for name, least in ((f, 1), (twice(f), 2)):
+                        if (chosen is None or name in chosen) and (before >= least) != (after >= least):
+                            (won if after >= least else lost).append(name)
                 if lost or won:
-                    out.append((lost, won))
+                    out.append((tuple(sorted(lost)), tuple(sorted(won))))
     return out
 
 
@@ -328,7 +339,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Per document: doc_id, held_out, score and predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}  # a word's features that can have a weight
+        known: dict[str, tuple[int, ...]] = {}  # a word's features that can have a weight
         for ids, texts in id_text_batches(batches):
             out = []
             for data in texts:
@@ -336,9 +347,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 for w in set(_WORD.findall(data.decode().lower())):
                     fs = known.get(w)
                     if fs is None:
-                        if len(known) > 500_000:
+                        if len(known) > 200_000:
                             known.clear()
-                        fs = known[w] = [f for f in word_features(w) if f in model.weights or twice(f) in model.weights]
+                        fs = known[w] = tuple(f for f in word_features.__wrapped__(w) if f in model.weights or twice(f) in model.weights)
                     if fs:
                         of.append(fs)
                 out.append(model.score(counted(of) & model.weights.keys()))
