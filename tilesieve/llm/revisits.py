@@ -169,10 +169,11 @@ def _warc(record_id: Column, url: Column, captured: Column, full: Column, etag:
 
 def revisited_pages(pages: DataFrame) -> DataFrame:
     """Per revisit of a crawl of pages: record_id, page_id, url_key, captured, status, source_id, the merged headers, and bytes and MD5 of the body that it stands for."""
-    records = warc.parse(crawl(pages))
-    found = resolve(records.drop("body"))
-    # each body is fetched once, however many revisits stand for it
-    bodies = records.where(F.col("kind") == "response").select("record_id", F.length("body").cast("long").alias("body_bytes"), F.md5("body").alias("body_md5"))
+    # bodies are read once; of them only length and digest go on
+    records = warc.parse(crawl(pages)).withColumns({"body_bytes": F.length("body").cast("long"), "body_md5": F.md5("body")})
+    records = cut_lineage(records.drop("body"))
+    found = resolve(records)
+    bodies = records.where(F.col("kind") == "response").select("record_id", "body_bytes", "body_md5")
     joined = found.join(bodies.withColumnRenamed("record_id", "source_id"), "source_id", "left")
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
     return joined.select("record_id", F.expr(f"record_id div {VISITS}").alias("page_id"), "url_key", "captured", "status", "source_id", F.coalesce(headers, F.lit("")).alias("headers"), "body_bytes", "body_md5")
