@@ -164,6 +164,11 @@ def _segments_meet(a: np.ndarray, b: np.ndarray) -> bool:
     return False
 
 
+def slope(ax: float, ay: float, bx: float, by: float) -> float:
+    """Change of x with y along an edge; 0 for a level one, which no ray crosses. Whatever tells inside from outside uses this."""
+    return 0.0 if ay == by else (bx - ax) / (by - ay)
+
+
 def in_polygon(p: Sequence[float], rings: Iterable[np.ndarray]) -> bool:
     """Inside by the even-odd rule over all rings, or on an edge."""
     x, y = p
@@ -176,8 +181,7 @@ def in_polygon(p: Sequence[float], rings: Iterable[np.ndarray]) -> bool:
         if _on_segments(np.array([[x, y]]), np.hstack([r[:-1], r[1:]])):
             return True
         spans = (ay > y) != (by > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = ax + (y - ay) / (by - ay) * (bx - ax)
+        at = (y - ay) * np.array([slope(*e) for e in zip(ax.tolist(), ay.tolist(), bx.tolist(), by.tolist())]) + ax
         odd ^= bool((spans & (x < at)).sum() % 2)
     return odd
 

@@ -62,7 +62,13 @@ def number_text(x: Any) -> str:
         return str(x)
     if x == int(x) and abs(x) < 1e16:
         return f"{x:.1f}"
-    return repr(x)
+    digits, _, power = repr(x).partition("e")
+    if not power:
+        return digits
+    if power == "-05":  # still written without an exponent
+        sign, plain = ("-", digits[1:]) if x < 0 else ("", digits)
+        return f"{sign}0.0000{plain.replace('.', '')}"
+    return f"{digits}e{int(power)}"
 
 
 def constant_text(x: Any) -> str:
@@ -125,6 +131,17 @@ def of_mvt(tag: Column) -> Value:
     return Value((NULL, BOOL, INT, FLOAT, STR), kind, cols)
 
 
+def decoded(tag: Column) -> Column:
+    """of_mvt as a struct: kind, and a column of each kind."""
+    v = of_mvt(tag)
+    return F.struct(v.kind.alias("kind"), *(v.cols[k].alias(k) for k in (BOOL, INT, FLOAT, STR)))
+
+
+def of_decoded(x: Column) -> Value:
+    """A struct that decoded made."""
+    return Value((NULL, BOOL, INT, FLOAT, STR), x["kind"], {k: x[k] for k in (BOOL, INT, FLOAT, STR)})
+
+
 def float_text(x: Column) -> Column:
     """A double as the shortest decimal that reads back, without an exponent: 5, 0.1, 1000000000000000000000."""
     s = x.cast("string")

@@ -9,7 +9,7 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tilesieve.functions.geometry import Box, Geometry, closed
+from tilesieve.functions.geometry import Box, Geometry, closed, slope
 
 #: Polygons of at most so many edges become one expression; larger ones a fold over an array of edges.
 INLINE_EDGES = 64
@@ -58,12 +58,9 @@ def _on_edge(x: Column, y: Column, ax, ay, bx, by) -> Column:
 
 def _crosses(x: Column, y: Column, ax, ay, bx, by) -> Column:
     """Whether a ray to the east crosses the edge."""
-    if isinstance(ax, float):
-        if ay == by:
-            return F.lit(False)
-        spans = (y >= min(ay, by)) & (y < max(ay, by))
-        return spans & (x < (y - ay) * ((bx - ax) / (by - ay)) + ax)
-    return ((ay > y) != (by > y)) & (x < (y - ay) * (bx - ax) / F.nullif(by - ay, F.lit(0.0)) + ax)
+    if ay == by:
+        return F.lit(False)
+    return (y >= min(ay, by)) & (y < max(ay, by)) & (x < (y - ay) * slope(ax, ay, bx, by) + ax)
 
 
 def point_in(g: Geometry, x: Column, y: Column) -> Column | None:
@@ -82,8 +79,11 @@ def point_in(g: Geometry, x: Column, y: Column) -> Column | None:
             odd = functools.reduce(operator.add, [_crosses(x, y, *e).cast("int") for e in edges], F.lit(0)) % 2 == 1
             hits.append(odd | functools.reduce(operator.or_, [_on_edge(x, y, *e) for e in edges], F.lit(False)))
         else:
-            listed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("ax", "ay", "bx", "by"), e))) for e in edges))
+            # the same arithmetic as in one expression, so that a polygon's size decides nothing
+            named = ("ax", "ay", "bx", "by", "low", "high", "slope")
+            whole = [(*e, min(e[1], e[3]), max(e[1], e[3]), slope(*e)) for e in edges]
+            listed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(named, e))) for e in whole))
             ends = lambda e: (e["ax"], e["ay"], e["bx"], e["by"])
-            count = F.aggregate(listed, F.lit(0), lambda acc, e: acc + F.coalesce(_crosses(x, y, *ends(e)), F.lit(False)).cast("int"))
+            count = F.aggregate(listed, F.lit(0), lambda acc, e: acc + ((y >= e["low"]) & (y < e["high"]) & (x < (y - e["ay"]) * e["slope"] + e["ax"])).cast("int"))
             hits.append((count % 2 == 1) | F.exists(listed, lambda e: _on_edge(x, y, *ends(e))))
     return gate & functools.reduce(operator.or_, hits) if hits else None

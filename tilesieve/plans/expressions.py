@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
-import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tilesieve.functions import values as V
 from tilesieve.plans import regex
@@ -57,7 +55,7 @@ def parse(doc: Any, extensions: bool = False) -> Node:
     if isinstance(doc, dict):
         raise ExpressionError("an object is not an expression")
     if not isinstance(doc, list):
-        return Node("literal", given=doc)
+        return Node("literal", given=_finite(doc))
     if not doc:
         raise ExpressionError("an expression must not be empty")
     op, args = doc[0], doc[1:]
@@ -92,7 +90,7 @@ def parse(doc: Any, extensions: bool = False) -> Node:
         return Node(op, (sub(args[0]),), (args[1], _pattern(args[1]), args[2]))
     if op == "literal":
         _count(args, 1)
-        return Node(op, given=args[0])
+        return Node(op, given=_finite(args[0]))
     if op == "tag":
         _count(args, 1)
         return Node(op, given=_string(args[0], "the name of a tag"))
@@ -102,6 +100,15 @@ def parse(doc: Any, extensions: bool = False) -> Node:
     raise ExpressionError(f"Unknown operator: {op}")
 
 
+def _finite(x: Any) -> Any:
+    """x; JSON has no infinite numbers."""
+    if isinstance(x, float) and not math.isfinite(x):
+        raise ExpressionError("a number is out of range")
+    for part in x if isinstance(x, list) else x.values() if isinstance(x, dict) else ():
+        _finite(part)
+    return x
+
+
 def _pattern(x: Any) -> str:
     try:
         return regex.translate(_string(x, "a pattern"))
@@ -111,11 +118,15 @@ def _pattern(x: Any) -> str:
 
 @dataclass(frozen=True)
 class Context:
-    """What an expression may ask for: a tag's value, the tag key at hand (None while features are judged), and the geometry type (None if unset)."""
+    """What an expression may ask for: a tag's value, the tag key at hand (None while features are judged), and the geometry type (None if unset).
+
+    tags: the map that tags are looked up in, if they are in one.
+    """
 
     tag: Callable[[str], V.Value]
     key: Column | None = None
     geometry_type: Column | None = None
+    tags: Column | None = None
 
     @classmethod
     def of_columns(cls, kinds: Mapping[str, str], key: Column | None = None, geometry_type: Column | None = None, cols: Mapping[str, Column] | None = None) -> "Context":
@@ -125,7 +136,7 @@ class Context:
     @classmethod
     def of_map(cls, tags: Column, key: Column | None = None, geometry_type: Column | None = None) -> "Context":
         """Tags in a map from names to tile values."""
-        return cls(lambda name: V.of_mvt(F.try_element_at(tags, F.lit(name))), key, geometry_type)
+        return cls(lambda name: V.of_mvt(F.try_element_at(tags, F.lit(name))), key, geometry_type, tags)
 
 
 def value(node: Node, c: Context) -> V.Value:
@@ -168,27 +179,32 @@ def _capture(text: Column, pattern: str, java: str, group: int) -> V.Value:
     parts = regex.groups(pattern)
     if group >= len(parts):
         return V.null()
+    found = F.regexp_extract(text, java, group)
     if parts[group]:
-        return V.of_column(F.when(text.rlike(java), F.regexp_extract(text, java, group)), V.STR)
-    return V.of_column(_optional_group(pattern, group)(text), V.STR)
+        return V.of_column(F.when(text.rlike(java), found), V.STR)
+    # of an empty text, whether the group took part or not: only then does a reference to it match
+    return V.of_column(F.when(found != "", found).when(text.rlike(regex.taking_part(java, group)), F.lit("")), V.STR)
 
 
-def _optional_group(pattern: str, group: int) -> Callable[[Column], Column]:
-    """Spark's functions give an empty text for a group that takes no part; this tells the two apart."""
-    python = re.compile(re.sub(r"(?<!\\)\$", r"\\Z", pattern))
+def condition(node: Node, c: Context) -> Column:
+    """Whether the expression's value counts as true: a Column that is never NULL."""
+    return V.truthy(value(node, c))
 
-    @F.pandas_udf(T.StringType())
-    def extract(texts: pd.Series) -> pd.Series:
-        found = (python.search(t) if t is not None else None for t in texts)
-        return pd.Series([m.group(group) if m else None for m in found], dtype=object)
 
-    return extract
+def tag_names(node: Node) -> set[str]:
+    return ({node.given} if node.op == "tag" else set()).union(*map(tag_names, node.args))
 
 
-def condition(node: Node, c: Context) -> Column:
-    """Whether the expression's value counts as true: a Column that is never NULL."""
-    return V.truthy(value(node, c))
+def rule(node: Node, c: Context) -> Column:
+    """condition of a whole rule. Of tags in a map, each is looked up and decoded once and bound for the rule, however often it is compared."""
+    names = sorted(tag_names(node))
+    if c.tags is None or not names:
+        return condition(node, c)
+    field = {name: f"t{k}" for k, name in enumerate(names)}
+    found = F.array(F.struct(*(F.try_element_at(c.tags, F.lit(name)).alias(k) for name, k in field.items())))
+    known = F.transform(found, lambda x: F.struct(*(V.decoded(x[k]).alias(k) for k in field.values())))
+    return F.element_at(F.transform(known, lambda x: condition(node, Context(lambda name: V.of_decoded(x[field[name]]), c.key, c.geometry_type))), 1)
 
 
 def compile_expression(doc: Any, c: Context, extensions: bool = False) -> Column:
-    return condition(parse(doc, extensions), c)
+    return rule(parse(doc, extensions), c)

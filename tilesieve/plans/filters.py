@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tilesieve.functions.geometry import BoxIndex, Geometry, from_geojson
-from tilesieve.plans.expressions import Context, Node, condition, parse
+from tilesieve.plans.expressions import rule as compiled
+from tilesieve.plans.expressions import Context, Node, parse
 
 #: Fixed value: the layer name that stands for every layer.
 ANY_LAYER = "*"
@@ -44,9 +45,9 @@ class Filter:
 
         A layer without the slot falls back to the rule for any layer, slot by slot.
         """
-        own = {name: condition(node, context) for name, r in self.layers.items() if name != ANY_LAYER and (node := getattr(r, slot)) is not None}
+        own = {name: compiled(node, context) for name, r in self.layers.items() if name != ANY_LAYER and (node := getattr(r, slot)) is not None}
         general = getattr(self.layers.get(ANY_LAYER, LayerRule()), slot)
-        default = F.lit(False) if general is None else condition(general, context)
+        default = F.lit(False) if general is None else compiled(general, context)
         if not own:
             return None if general is None else default
         out: Column | None = None
