@@ -21,17 +21,17 @@ class InputError(ValueError):
 def convert(spark: SparkSession, source: str, target: str, filters: str | None = None, name: str | None = None, description: str | None = None, attribution: str | None = None, extensions: bool = False) -> int:
     """Filters an archive into a new one and returns its number of tiles. All inputs are checked before anything is written."""
     if not os.path.exists(source):
-        raise InputError(f"Input file does not exist: {source}")
+        raise InputError(f"there is no archive at {source}")
     if filters is not None and not os.path.exists(filters):
-        raise InputError(f"Filter file does not exist: {filters}")
+        raise InputError(f"there is no filter document at {filters}")
     if not target.endswith(".pmtiles"):
-        raise InputError("The output must be a .pmtiles file")
+        raise InputError(f"the name of an archive ends in .pmtiles, not so {target}")
     rules = None if filters is None else FilterCollection.from_file(filters, extensions)
     header = pmtiles.read_header(source)
     if header.tile_type != pmtiles.MVT:
-        raise InputError("Only archives of vector tiles are supported")
+        raise InputError(f"{source} holds no vector tiles")
     if header.tile_compression not in (pmtiles.NONE, pmtiles.GZIP):
-        raise pmtiles.ArchiveError(f"Unsupported tile compression {header.tile_compression}")
+        raise pmtiles.ArchiveError(f"tiles of compression {header.tile_compression} can't be read")
     metadata = apply_overrides(pmtiles.read_metadata(source), name, description, attribution)
     tiles = pmtiles.read_archive(spark, source)
     pmtiles.write_archive(filter_tiles(tiles, rules), target, header, metadata, ordered=True)

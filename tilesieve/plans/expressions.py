@@ -97,7 +97,7 @@ def parse(doc: Any, extensions: bool = False) -> Node:
     if op in CONTEXT:
         _count(args, 0)
         return Node(op)
-    raise ExpressionError(f"Unknown operator: {op}")
+    raise ExpressionError(f"there is no operator {op!r}")
 
 
 def _finite(x: Any) -> Any:

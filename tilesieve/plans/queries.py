@@ -296,6 +296,25 @@ def mvt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(event_tiles(spark, sf_dir))
 
 
+@register("tile_identity", ORACLES["mvt_roundtrip"])
+def tile_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without filters tiles are only encoded anew."""
+    return _ids(tiles.filter_tiles(event_tiles(spark, sf_dir)))
+
+
+@register(
+    "empty_layers_stay",
+    EV + "SELECT layer, count(*) AS n_tiles, CAST(sum(n) AS BIGINT) AS n_features, count(*) FILTER (WHERE n = 0) AS n_empty FROM (SELECT event_type AS layer, count(*) FILTER (WHERE NOT (event_type = 'view' OR event_type = 'click' AND k >= 20)) AS n FROM ev "
+    "GROUP BY event_type, greatest(0, least(15, floor((lon + 180) / 360 * 16))), greatest(0, least(15, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16)))) GROUP BY layer",
+)
+def empty_layers_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers and tiles of which no feature stays are kept."""
+    rules = collection((WORLD, {"view": {"feature": True}, "click": {"feature": [">=", T("k"), 20]}}))
+    kept = tiles.decode_tiles(tiles.filter_tiles(event_tiles(spark, sf_dir), rules)).select(F.explode("layers").alias("l"))
+    n = F.size("l.features")
+    return kept.groupBy(F.col("l.name").alias("layer")).agg(F.count("*").alias("n_tiles"), F.sum(n).alias("n_features"), F.count_if(n == 0).alias("n_empty"))
+
+
 TILE_RULES = ((RECT, {"*": {"feature": ["in", T("event_type"), ["literal", ["click", "error"]]], "tag": ["==", ["key"], "opt_name"]}}), (WORLD, {"view": {"feature": ["<", T("k"), 50], "tag": ["all", ["==", ["key"], "user_id"], [">", T("value"), 100]]}}))
 
 
@@ -310,8 +329,10 @@ def tile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and executors share, where one is named."""
+    """A new folder that the driver and executors share, where one is named. Archives are files: it must be mounted."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    if "://" in top.removeprefix("file://"):
+        raise ValueError(f"archives need a folder in the file system, not {top}")
     path = f"{top.removeprefix('file://')}/archives-{uuid.uuid4().hex}"
     os.makedirs(path)
     return path
@@ -326,6 +347,22 @@ def pmtiles_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(pmtiles.read_archive(spark, f"{top}/out.pmtiles"))
 
 
+@register(
+    "archive_header",
+    "SELECT CAST(1 AS INTEGER) AS tile_type, CAST(2 AS INTEGER) AS tile_compression, CAST(4 AS INTEGER) AS min_zoom, CAST(4 AS INTEGER) AS max_zoom, -10.5::DOUBLE AS min_lon, -20.25::DOUBLE AS min_lat, 30.125::DOUBLE AS max_lon, 40.0::DOUBLE AS max_lat, 'events' AS name, 'all of them' AS description, n_tiles, n_entries "
+    "FROM (SELECT count(*) AS n_tiles, count(*) AS n_entries FROM (" + EV + "SELECT DISTINCT greatest(0, least(15, floor((lon + 180) / 360 * 16))), greatest(0, least(15, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16))) FROM ev))",
+)
+def archive_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header, metadata and directory of an archive, as they are read back."""
+    path = f"{_shared_folder(spark)}/in.pmtiles"
+    header = pmtiles.Header(min_zoom=4, max_zoom=4, min_lon=-10.5, min_lat=-20.25, max_lon=30.125, max_lat=40.0)
+    pmtiles.write_archive(event_tiles(spark, sf_dir), path, header, apply_overrides('{"name": "old"}', name="events", description="all of them"))
+    entries = pmtiles.read_entries(path)
+    found = pmtiles.header_frame(spark, path).select("tile_type", "tile_compression", "min_zoom", "max_zoom", "min_lon", "min_lat", "max_lon", "max_lat", F.from_json("metadata", "name string, description string").alias("m"))
+    counts = F.lit(sum(e.run_length for e in entries)).cast("long").alias("n_tiles"), F.lit(len(entries)).cast("long").alias("n_entries")
+    return found.select(*found.columns[:-1], "m.*", *counts)
+
+
 @register("metadata_override", "SELECT 'new' AS name, 'kept' AS description, CAST(1 AS BIGINT) AS extra")
 def metadata_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = apply_overrides('{"name": "old", "description": "kept", "extra": 1}', name="new")
