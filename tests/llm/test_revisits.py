@@ -107,6 +107,13 @@ def test_records_of_a_crawl_are_warc(spark):
     assert fields["WARC-Type"] == "revisit" and fields["WARC-Profile"] == warc.NOT_MODIFIED
 
 
+def test_dates_in_any_time_zone(spark):
+    pages = spark.range(0, 2_592_000, 1801).selectExpr("id AS page_id", "'http://a.example' AS url", "'x' AS html")
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert warc.parse(rv.crawl(pages)).selectExpr(f"bool_and(captured = {rv.BEGIN} + record_id % 4 * {rv.APART} + record_id div 4)").first()[0]
+
+
 def test_files_round_trip(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     records = rv.crawl(pages)

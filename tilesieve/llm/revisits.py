@@ -142,7 +142,8 @@ def crawl(pages: DataFrame) -> DataFrame:
 def _warc(record_id: Column, url: Column, captured: Column, full: Column, etag: Column, modified: Column, body: Column) -> Column:
     """The bytes of a response or of a server-not-modified revisit."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
-    when = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(captured), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # without a time zone, so that the session's doesn't matter
+    when = F.concat(F.translate(F.timestamp_add("SECOND", captured, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))).cast("string"), " ", "T"), F.lit("Z"))
     http = F.concat(
         F.when(full, "HTTP/1.1 200 OK\r\n").otherwise("HTTP/1.1 304 Not Modified\r\n"),
         line("Date", captured.cast("string")),
