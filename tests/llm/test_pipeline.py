@@ -90,6 +90,46 @@ def test_near_dedup_of_edited_copies(spark):
         assert sum(again[i] == got[i] for i in rows) >= 0.99 * len(rows)
 
 
+def test_near_dedup_loses_no_pair_of_crowded_lists(spark):
+    """Texts that share a passage told over and over have nearly one fingerprint, but only pairs of them are similar."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, rows = [word() for _ in range(60)], {}
+    for _ in range(80):
+        own = [word() for _ in range(30)]
+        edited = [*own[:15], word(), *own[16:]]
+        for words in (own, edited):
+            rows[len(rows)] = " ".join([*words, *passage * 20])
+    for _ in range(10):  # the same shingles, but one line of many more times: fingerprints far apart
+        own = [word() for _ in range(120)]
+        for times in (1, 200):
+            rows[len(rows)] = " ".join([*own, *own[-8:] * times])
+    label = groups(rows)
+    assert sum(label[i] != i for i in rows) == 90
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    for chunk in (2048, 20):
+        assert {r.doc_id: r.component_id for r in simhash_pivots.similar(df, chunk=chunk).collect()} == label
+
+
+def test_near_dedup_equals_brute_force_near_the_bound(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows = {0: None, 1: "", 2: "one", 3: "One", 4: "one two three four five"}
+    for k in range(40):
+        base = rng.choices(vocabulary, k=rng.randint(6, 900))
+        rows[len(rows)] = " ".join(base)
+        for _ in range(6):  # from a chain of edits, similarities around 0.8
+            copy = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) // rng.randint(35, 55))):
+                copy[at] = rng.choice(vocabulary)
+            rows[len(rows)] = " ".join(copy)
+            base = copy if k % 2 else base
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    label = groups(rows)
+    for chunk in (2048, 3):
+        assert {r.doc_id: r.component_id for r in simhash_pivots.similar(df, chunk=chunk).collect()} == label
+
+
 ROWS = "doc_id long, text string, lang string, source string, n_chars int, _id long, _draws int, Row int, _gone string, _text string, _unit int, size int, doc string"
 
 

@@ -20,9 +20,19 @@
 
 `similar` is for texts whose shingle sets have a Jaccard similarity of at least `SIMILARITY`, whose
 fingerprints differ in about ten bits. No exact combination of blocks brings these together, so
-classes (there: equal words) are listed under `BANDS` min-hash keys; pivot tables and distances of
-`WIDE` bits discard, and each link of the forests is verified by the exact similarity of its texts.
-Two texts at the least similarity share a list with probability 0.995.
+classes (there: equal words) are listed under `BANDS` min-hash keys, the forests of lists and each
+class's `NEAREST` links within `WIDE` bits are verified by the exact similarity of their texts, and
+their components are found. That is only a quick start, which spares most of the work of an exact join
+of what is still apart (`_apart`):
+
+1. Each class is listed under its rarest shingles, so many that two similar sets share one of them
+   (prefix filter). Shingles are ordered by their frequency in a sample, then by hash; a sample can
+   change how long lists are, never what is found. Lists of one component go.
+2. In a list, all pairs of different components are looked at. A pair is discarded only if it can't be
+   similar: by the sizes of its sets, and by parity maps, whose bits differ in at most as many
+   places as the sets do.
+3. Of each two components the pair with the nearest maps is verified first. Then all pairs that are
+   still between different components are verified, however many they are.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any others. A text
 of fewer words than a shingle is one shingle. Rows that share an id are one document with several
@@ -33,6 +43,7 @@ keep them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -43,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilesieve.llm.common import cut_lineage, id_text_batches, small, with_id_and_text
+from tilesieve.llm.common import BROADCAST_ROWS, cut_lineage, id_text_batches, small, with_id_and_text
 from tilesieve.llm.components import components
 
 SHINGLE = 4
@@ -59,6 +70,12 @@ SIMILAR_SHINGLE, SIMILARITY, WIDE, BANDS, BAND_VALUES = 5, 0.8, 18, 10, 4
 #: For `similar`: besides the forest, which a link that turns out too weak could tear, each text is linked to so many nearest ones of a list.
 NEAREST = 2
 
+#: For `similar`: pairs that a task verifies, on average.
+VERIFIED = 1024
+
+#: For the exact join: bits of the parity maps that go into lists, classes in the sample, least count of a frequent shingle there, and the most of these.
+SHORT, SAMPLE, OFTEN, FREQUENT = 512, 2048, 2, 1 << 16
+
 _UPPER = bytes(range(65, 91))
 _LOWERED = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -177,8 +194,8 @@ def nearest_links(fps: np.ndarray, side: np.ndarray | None, table: np.ndarray, m
                 yield i, int(near[at])
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrow batches sorted by list, with lists whole: what a batch leaves open goes to the next one."""
+def _lists(batches: Iterator[pa.RecordBatch], by: int = 4) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrow batches sorted by list, which the first columns name, with lists whole: what a batch leaves open goes to the next one."""
     rest: list[np.ndarray] | None = None
     for batch in batches:
         cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
@@ -186,7 +203,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
             cols = [np.concatenate(x) for x in zip(rest, cols)]
         if not len(cols[0]):
             continue
-        same = np.logical_and.reduce([c == c[-1] for c in cols[:4]])
+        same = np.logical_and.reduce([c == c[-1] for c in cols[:by]])
         open_at = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
         rest = [c[open_at:] for c in cols]
         if open_at:
@@ -226,14 +243,19 @@ def _link(batches: Iterator[pa.RecordBatch], max_distance: int, nearest: int) ->
 
 def list_links(keys: DataFrame, max_distance: int, chunk: int = CHUNK, nearest: int = 0) -> DataFrame:
     """(a, b): a spanning forest of the links in each list, and each fingerprint's links to so many nearest ones; keys: which, key (of a list), fp, rep (a class's name), p0, p1."""
+    return _dealt(keys, chunk, ["fp", "rep", "p0", "p1"]).mapInArrow(lambda it: _link(it, max_distance, nearest), "a long, b long")
+
+
+def _dealt(keys: DataFrame, chunk: int, cols: list[str]) -> DataFrame:
+    """Rows (which, key, c, d, mine, then cols) sorted by list. Of a list above the chunk each pair (c, d) of chunks is a list; cols start with two that tell rows apart."""
     hot = cut_lineage(keys.groupBy("which", "key").count().where(F.col("count") > chunk).select("which", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
     dealt = keys.join(small(hot), ["which", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp", "rep", F.lit(3)), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(*cols[:2], F.lit(3)), F.col("chunks")).cast("int"))
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    listed = dealt.select("which", "key", "mine", "fp", "rep", "p0", "p1", F.explode(other).alias("other"))
-    listed = listed.select("which", "key", F.least("mine", "other").alias("c"), F.greatest("mine", "other").alias("d"), "mine", "fp", "rep", "p0", "p1")
+    listed = dealt.select("which", "key", "mine", *cols, F.explode(other).alias("other"))
+    listed = listed.select("which", "key", F.least("mine", "other").alias("c"), F.greatest("mine", "other").alias("d"), "mine", *cols)
     by = ["which", "key", "c", "d"]
-    return listed.repartition(*by).sortWithinPartitions(*by, "fp", "rep").mapInArrow(lambda it: _link(it, max_distance, nearest), "a long, b long")
+    return listed.repartition(*by).sortWithinPartitions(*by, *cols[:2])
 
 
 def class_links(classes: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
@@ -273,6 +295,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return _without(docs, found.where(F.col("doc_id") != F.col("component_id")), id_col)
 
 
+SHORT_COLS = [f"m{k}" for k in range(SHORT // 64)]
 SKETCH = "doc_id long, th long, content binary, fp long, keys array<long>"
 
 
@@ -283,7 +306,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     plus = rng.integers(0, 1 << 63, bands * values, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for data in batch.column(2).cast(pa.binary()).to_pylist():
                 least = np.full(bands * values, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -308,26 +331,204 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return with_id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
+def shingle_set(data: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a UTF-8 text's shingles, in order."""
+    return np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *shingle_hashes(data, shingle)]))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def jaccard(a: bytes, b: bytes, shingle: int = SIMILAR_SHINGLE) -> float:
     """Similarity of two texts' shingle sets; of two empty ones 1."""
-    x, y = ({h for part in shingle_hashes(t, shingle) for h in part.tolist()} for t in (a, b))
-    return len(x & y) / len(x | y) if x or y else 1.0
+    x, y = (shingle_set(t, shingle) for t in (a, b))
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
 
 
 def _verified(links: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The links (a, b) between classes whose texts are similar enough. Texts move once, to the links that they are an end of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [jaccard(x.encode(), y.encode(), shingle) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        for batch in _slices(batches, 32):
+            ok = [jaccard(x, y, shingle) >= similarity for x, y in zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3)))]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("rep")).join(classes.select("rep", "doc_id", "th"), "rep")
+    ends = cut_lineage(links.select("a", "b", F.explode(F.array("a", "b")).alias("rep")).join(classes.select("rep", "doc_id", "th"), "rep"))
+    needed = cut_lineage(ends.select("doc_id", "th").distinct())
+    if (n := needed.count()) <= BROADCAST_ROWS:  # then no other text moves
+        texts = texts.join(small(needed, n), ["doc_id", "th"], "left_semi")
     found = ends.join(texts, ["doc_id", "th"]).select("a", "b", F.coalesce("text", F.lit("")).alias("text"), (F.col("rep") == F.col("a")).alias("first"))
+    # a task gets few pairs, as a batch holds their texts
+    found = found.repartition(max(8, ends.count() // (2 * VERIFIED)), "a", "b")
     pairs = found.groupBy("a", "b").agg(F.max_by("text", F.col("first")).alias("x"), F.min_by("text", F.col("first")).alias("y"))
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def rarest(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's rarest hashes that two sets of at least the similarity share one; frequent: hashes in order, with their counts."""
+    n = len(hashes)
+    most = min(n, n - math.ceil(similarity * n - 1e-6) + 1)
+    if not len(frequent):
+        return hashes[:most]
+    at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+    return hashes[np.lexsort((hashes, np.where(frequent[at] == hashes, counts[at], 0)))[:most]]
+
+
+def parity_map(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """For each value of the hashes' lowest bits whether an odd number has it, eight to a byte; bits is a power of two."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(parity: np.ndarray, size: int) -> np.ndarray:
+    """A map of fewer bytes, the same as if made with them."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
+
+
+def can_be_similar(differ, total, similarity: float):
+    """Whether sets that differ in at least so many elements, with so many in all, can have the similarity."""
+    return differ * (1 + similarity) <= total * (1 - similarity) + 1e-6
+
+
+def _frequent(classes: DataFrame, texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles' hashes in order, and their counts, in a sample of classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            for data in batch.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(data or b"", shingle).view(np.int64))], names=["h"])
+
+    one_of = max(1, classes.count() // SAMPLE)
+    sample = cut_lineage(classes.where(F.pmod(F.xxhash64("content"), F.lit(one_of)) == 0).select("doc_id", "th"))
+    hashes = texts.join(small(sample), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).select("text").mapInArrow(run, "h long")
+    rows = hashes.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    frequent, counts = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64)
+    order = np.argsort(frequent)
+    return frequent[order], counts[order]
+
+
+def _maps(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, th, n, m0 .. m7, wide): the size of a text's shingle set, its short parity map, and one with two bits or more for each element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            n, wide = [], []
+            for data in batch.column(2).cast(pa.binary()).to_pylist():
+                hashes = shingle_set(data or b"", shingle)
+                n.append(len(hashes))
+                wide.append(parity_map(hashes, max(SHORT, 1 << (2 * len(hashes)).bit_length())))
+            short = np.array([folded(x, SHORT // 8) for x in wide], dtype=np.uint8).reshape(len(wide), SHORT // 8).view(np.int64)
+            cols = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array(x) for x in short.T.copy()), pa.array([x.tobytes() for x in wide], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n", *SHORT_COLS, "wide"])
+
+    return texts.mapInArrow(run, f"doc_id long, th long, n long, {', '.join(f'{c} long' for c in SHORT_COLS)}, wide binary")
+
+
+def _prefixes(texts: DataFrame, frequent: np.ndarray, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, th, n, keys): a text's rarest shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            n, keys = [], []
+            for data in batch.column(2).cast(pa.binary()).to_pylist():
+                hashes = shingle_set(data or b"", shingle)
+                n.append(len(hashes))
+                keys.append(rarest(hashes, frequent, counts, similarity).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "keys"])
+
+    return texts.mapInArrow(run, "doc_id long, th long, n int, keys array<long>")
+
+
+def _mixed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, n, rep, component) sorted by key and n, those (key, rep) of lists with several components that have one of a near size beside them."""
+    for key, n, rep, component in _lists(batches, 1):
+        new = np.r_[True, key[1:] != key[:-1]]
+        start = np.flatnonzero(new)
+        mixed = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
+        beside = ~new[1:] & can_be_similar(n[1:] - n[:-1], n[1:] + n[:-1], similarity)
+        keep = mixed[np.cumsum(new) - 1] & (np.r_[beside, False] | np.r_[False, beside])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep], pa.int64()), pa.array(rep[keep], pa.int64())], names=["key", "rep"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (which, key, c, d, mine, n, rep, component, m0 .. m7) sorted by list and n, all pairs of different components that can be similar."""
+    names = ["a", "b", "ca", "cb"]
+
+    def batch_of(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, x, y = (np.concatenate(z) for z in zip(*out))
+        turn = a > b
+        cols = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, y, x), np.where(turn, x, y)
+        return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in cols], names=names)
+
+    for which, key, c, d, mine, n, rep, component, *short in _lists(batches):
+        new = np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
+        maps = np.stack(short, axis=1).view(np.uint64)
+
+        def pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+            ok = (component[i] != component[j]) & can_be_similar(n[j] - n[i], n[j] + n[i], similarity) & ((c[i] == d[i]) | (mine[i] != mine[j]))
+            i, j = i[ok], j[ok]
+            ok = can_be_similar(np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64), n[j] + n[i], similarity)
+            i, j = i[ok], j[ok]
+            return rep[i], rep[j], component[i], component[j]
+
+        start = np.flatnonzero(new)
+        length = np.diff(np.r_[start, len(new)])
+        two = start[length == 2]
+        out = [pairs(two, two + 1)]  # lists of two, the most by far, all at once
+        waiting = len(out[0][0])
+        for s, m in zip(start[length > 2].tolist(), length[length > 2].tolist()):
+            step = max(1, (1 << 16) // m)
+            for at in range(0, m, step):  # so many rows with all after them
+                i, j = (x + s for x in np.nonzero(np.arange(at, min(at + step, m))[:, None] < np.arange(m)))
+                out.append(pairs(i + at, j))
+                waiting += len(out[-1][0])
+                if waiting > 1 << 16:
+                    yield batch_of(out)
+                    out, waiting = [], 0
+        if waiting:
+            yield batch_of(out)
+
+
+def _nearer(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, ca, cb, n, wide of each end) that can be similar by their wide maps, with the share far of elements that these tell apart."""
+    for batch in _slices(batches):
+        n = batch.column(4).to_numpy() + batch.column(6).to_numpy()
+        differ = np.empty(len(n), dtype=np.int64)
+        for k, (x, y) in enumerate(zip(batch.column(5).to_pylist(), batch.column(7).to_pylist())):
+            size = min(len(x), len(y))
+            x, y = (folded(np.frombuffer(z, dtype=np.uint8), size) for z in (x, y))
+            differ[k] = np.bitwise_count(x ^ y).sum(dtype=np.int64)
+        ok = pa.array(can_be_similar(differ, n, similarity))
+        far = pa.array(differ / np.maximum(n, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], far], names=["a", "b", "ca", "cb", "far"]).filter(ok)
+
+
+def _apart(group: DataFrame, texts: DataFrame, known: DataFrame, shingle: int, similarity: float, chunk: int) -> DataFrame:
+    """(a, b, ca, cb, far): all pairs of classes in different components that can be similar, but for the known links (a, b); group: classes with their components."""
+    frequent, counts = _frequent(group, texts, shingle)
+    named = group.select("doc_id", "th", "rep", "component")
+    named = small(named, group.count())
+    maps = cut_lineage(_maps(texts, shingle).join(named, ["doc_id", "th"]).drop("doc_id", "th").dropDuplicates(["rep"]))
+    # a class that is a component of its own is listed without the component's name, which takes room
+    own = F.when(F.col("component") != F.col("rep"), F.col("component")).alias("component")
+    keys = _prefixes(texts, frequent, counts, shingle, similarity).join(named, ["doc_id", "th"]).select(F.explode("keys").alias("key"), "n", "rep", own)
+    keys = keys.repartition("key").sortWithinPartitions("key", "n").select("key", F.col("n").cast("long").alias("n"), "rep", F.coalesce("component", "rep").alias("component"))
+    lists = cut_lineage(keys.mapInArrow(lambda it: _mixed(it, similarity), "key long, rep long"))
+    sizes = small(maps.select("rep", "component", "n", *SHORT_COLS), maps.count())
+    rows = lists.withColumn("which", F.lit(0)).join(sizes, "rep")
+    pairs = _dealt(rows, chunk, ["n", "rep", "component", *SHORT_COLS]).mapInArrow(lambda it: _candidates(it, similarity), "a long, b long, ca long, cb long")
+    pairs = pairs.groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb")).join(known, ["a", "b"], "left_anti")
+    for end in "ab":
+        pairs = pairs.join(maps.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"wide{end}")), end)
+    pairs = pairs.select("a", "b", "ca", "cb", "na", "widea", "nb", "wideb")
+    return cut_lineage(pairs.mapInArrow(lambda it: _nearer(it, similarity), "a long, b long, ca long, cb long, far double"))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, max_distance: int = WIDE, bands: int = BANDS, values: int = BAND_VALUES, chunk: int = CHUNK) -> DataFrame:
     """Per row with an id: doc_id and component_id, the smallest id that links of at least the similarity reach."""
     known = cut_lineage(sketches(docs, id_col, text_col, shingle, bands, values))
@@ -335,15 +536,31 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     classes = cut_lineage(known.groupBy("content").agg(one).select("content", "one.*")).withColumn("rep", F.monotonically_increasing_id())
     table = with_pivots(classes, make_pivots(PIVOTS))
     keys = table.select("fp", "rep", "p0", "p1", F.posexplode("keys").alias("which", "key"))
-    links = list_links(keys, max_distance, chunk, NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ok = _verified(links, classes, _hashed(docs, id_col, text_col), shingle, similarity)
+    links = cut_lineage(list_links(keys, max_distance, chunk, NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    texts = _hashed(docs, id_col, text_col).where(F.col("doc_id").isNotNull()).select("doc_id", "th", "text")
+    ok = _verified(links, classes, texts, shingle, similarity)
     # an id with several texts links their classes
     named = known.select("doc_id", "content").join(classes.select("content", "rep"), "content")
     several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where(F.col("a") < F.col("z"))
     several = named.join(several, "doc_id").where(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b"))
     found = components(ok.unionByName(several))
-    group = classes.select("rep", "doc_id", "content").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    group = cut_lineage(group)
+    named = classes.select("rep", "doc_id", "th", "content")
+    group = cut_lineage(named.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    # the exact way for all pairs that the forests and nearest links leave out
+    pairs = _apart(group, texts, links, shingle, similarity, chunk)
+    ends = [F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")]
+    first = cut_lineage(pairs.groupBy(*ends).agg(F.min(F.struct("far", "a", "b")).alias("one")).select("one.a", "one.b"))
+    joined = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if not first.isEmpty():
+        joined = cut_lineage(joined.unionByName(_verified(first, classes, texts, shingle, similarity)))
+        found = cut_lineage(components(joined))
+        rest = pairs.join(first, ["a", "b"], "left_anti")
+        for end in "ab":
+            rest = rest.join(found.select(F.col("node").alias(end), F.col("component").alias(f"now_{end}")), end, "left").withColumn(f"now_{end}", F.coalesce(f"now_{end}", end))
+        rest = cut_lineage(rest.where(F.col("now_a") != F.col("now_b")).select("a", "b"))
+        if not rest.isEmpty():
+            found = components(joined.unionByName(_verified(rest, classes, texts, shingle, similarity)))
+        group = cut_lineage(named.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     # written before the join, whose hot groups can then be split
     least = cut_lineage(group.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes")).where("classes > 1").drop("classes"))
     labels = cut_lineage(group.join(small(least), "component", "left").select("content", F.coalesce("component_id", "doc_id").alias("component_id")))
