@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -130,6 +131,50 @@ def test_near_dedup_equals_brute_force_near_the_bound(spark):
         assert {r.doc_id: r.component_id for r in simhash_pivots.similar(df, chunk=chunk).collect()} == label
 
 
+def test_near_dedup_makes_a_pair_of_long_texts_once(spark, monkeypatch):
+    """Long texts told from the same passages share many shingles; but a pair of texts is not made anew for each of these."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passages, rows = [[word() for _ in range(150)] for _ in range(40)], {}
+    for _ in range(40):
+        told = [w for p in rng.sample(passages, 12) for w in p] + [word() for _ in range(200)]
+        rows[len(rows)] = " ".join(told)
+    for i in (3, 7):
+        rows[len(rows)] = rows[i] + " " + " ".join(word() for _ in range(100))
+    seen, dealt = [], simhash_pivots._dealt
+
+    def kept(keys, chunk, cols):
+        if "component" in cols:
+            seen.append(dealt(keys, chunk, cols))
+        return dealt(keys, chunk, cols)
+
+    monkeypatch.setattr(simhash_pivots, "_dealt", kept)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in simhash_pivots.similar(df).collect()} == groups(rows)
+    made = seen[0].mapInArrow(lambda it: simhash_pivots._candidates(it, 0.8), "a long, b long, ca long, cb long").select("a", "b").collect()
+    assert len(made) <= 4 * len(set(made))
+
+
+def test_similar_sets_share_a_run_of_their_rarest():
+    rng = np.random.default_rng(2)
+    for similarity in (0.55, 0.8, 0.9):
+        for run in range(1, simhash_pivots.run_length(similarity, 4) + 1):
+            for _ in range(300):
+                n = int(rng.integers(1, 60))
+                extra = rng.integers(0, 1 << 63, (2, int(n * (1 / similarity - 1)) + 1), dtype=np.uint64)
+                many = int(rng.integers(0, extra.shape[1]))
+                one = int(rng.integers(0, many + 1))
+                both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+                x, y = (np.unique(np.r_[both, z]) for z in (extra[0, :one], extra[1, : many - one]))
+                if len(np.intersect1d(x, y)) < similarity * len(np.union1d(x, y)):
+                    continue
+                some = np.unique(rng.choice(np.r_[x, y], 20))
+                counts = rng.integers(2, 6, len(some))
+                keys = [simhash_pivots.run_keys(simhash_pivots.rarest(z, some, counts, similarity, run), run) for z in (x, y)]
+                assert len(np.intersect1d(*keys))
+    assert simhash_pivots.run_length(0.4) == 1 and simhash_pivots.run_length(0.8) == 2
+
+
 ROWS = "doc_id long, text string, lang string, source string, n_chars int, _id long, _draws int, Row int, _gone string, _text string, _unit int, size int, doc string"
 
 

@@ -25,12 +25,14 @@ class's `NEAREST` links within `WIDE` bits are verified by the exact similarity
 their components are found. That is only a quick start, which spares most of the work of an exact join
 of what is still apart (`_apart`):
 
-1. Each class is listed under its rarest shingles, so many that two similar sets share one of them
-   (prefix filter). Shingles are ordered by their frequency in a sample, then by hash; a sample can
-   change how long lists are, never what is found. Lists of one component go.
+1. Each class is listed under pairs of neighbours among its rarest shingles (prefix filter with runs).
+   Shingles are ordered by their frequency in a sample, then by hash; a sample can change how long
+   lists are, never what is found. Of n shingles the rarest `RUN` * (1 - similarity) * n and one more
+   are taken: what one set has alone can interrupt the common ones only so often that a run of `RUN`
+   neighbours is left in common (`rarest`). Lists of one component go, lists of the same classes become one.
 2. In a list, all pairs of different components are looked at. A pair is discarded only if it can't be
-   similar: by the sizes of its sets, and by parity maps, whose bits differ in at most as many
-   places as the sets do.
+   similar, by the sizes of its sets and by parity maps, whose bits differ in at most as many
+   places as the sets do, or if both rows name an earlier list in common, where it is looked at too.
 3. Of each two components the pair with the nearest maps is verified first. Then all pairs that are
    still between different components are verified, however many they are.
 
@@ -76,6 +78,9 @@ VERIFIED = 1024
 #: For the exact join: bits of the parity maps that go into lists, classes in the sample, least count of a frequent shingle there, and the most of these.
 SHORT, SAMPLE, OFTEN, FREQUENT = 512, 2048, 2, 1 << 16
 
+#: For the exact join: neighbouring shingles to a key, and the lists that a row names, of all that its class is in.
+RUN, HEAD = 2, 8
+
 _UPPER = bytes(range(65, 91))
 _LOWERED = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -296,6 +301,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 SHORT_COLS = [f"m{k}" for k in range(SHORT // 64)]
+HEAD_COLS = [f"h{k}" for k in range(HEAD)]
 SKETCH = "doc_id long, th long, content binary, fp long, keys array<long>"
 
 
@@ -369,16 +375,30 @@ def _verified(links: DataFrame, classes: DataFrame, texts: DataFrame, shingle: i
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def rarest(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """So many of a set's rarest hashes that two sets of at least the similarity share one; frequent: hashes in order, with their counts."""
-    n = len(hashes)
-    most = min(n, n - math.ceil(similarity * n - 1e-6) + 1)
+def rarest(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float, run: int = 1) -> np.ndarray:
+    """Of a set's rarest hashes, in order of rarity, so many that two sets of at least the similarity have `run` neighbours in common; frequent: hashes in order, with their counts."""
+    most = min(len(hashes), math.floor(run * (1 - similarity) * len(hashes) + 1e-6) + 1)
     if not len(frequent):
         return hashes[:most]
     at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
     return hashes[np.lexsort((hashes, np.where(frequent[at] == hashes, counts[at], 0)))[:most]]
 
 
+def run_length(similarity: float, most: int = RUN) -> int:
+    """Neighbours to a key: the most for which `rarest` needs no more hashes than a set has."""
+    return max([1, *(r for r in range(1, most + 1) if r * (1 - similarity) < 1 - 1e-6)])
+
+
+def run_keys(ordered: np.ndarray, run: int) -> np.ndarray:
+    """A hash for each run of so many neighbours; the first ones begin before the first hash."""
+    padded = np.r_[np.zeros(run - 1, dtype=np.uint64), ordered]
+    keys = np.zeros(len(ordered), dtype=np.uint64)
+    for k in range(run):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + padded[k : k + len(ordered)]
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
 def parity_map(hashes: np.ndarray, bits: int) -> np.ndarray:
     """For each value of the hashes' lowest bits whether an odd number has it, eight to a byte; bits is a power of two."""
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -430,7 +450,8 @@ def _maps(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, th, n, keys): a text's rarest shingles."""
+    """(doc_id, th, n, keys): runs of a text's rarest shingles."""
+    run_of = run_length(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -438,25 +459,41 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, counts: np.ndarray, shingl
             for data in batch.column(2).cast(pa.binary()).to_pylist():
                 hashes = shingle_set(data or b"", shingle)
                 n.append(len(hashes))
-                keys.append(rarest(hashes, frequent, counts, similarity).view(np.int64))
+                keys.append(run_keys(rarest(hashes, frequent, counts, similarity, run_of), run_of).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "keys"])
 
     return texts.mapInArrow(run, "doc_id long, th long, n int, keys array<long>")
 
 
 def _mixed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, n, rep, component) sorted by key and n, those (key, rep) of lists with several components that have one of a near size beside them."""
+    """Of rows (key, n, rep, component) sorted by key and n, those (key, rep) of lists with several components that have one of a near size beside them.
+
+    The new key is a hash of a list's classes, so that lists of the same classes become one; others that it may join only get longer.
+    """
     for key, n, rep, component in _lists(batches, 1):
         new = np.r_[True, key[1:] != key[:-1]]
         start = np.flatnonzero(new)
         mixed = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
         beside = ~new[1:] & can_be_similar(n[1:] - n[:-1], n[1:] + n[:-1], similarity)
-        keep = mixed[np.cumsum(new) - 1] & (np.r_[beside, False] | np.r_[False, beside])
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep], pa.int64()), pa.array(rep[keep], pa.int64())], names=["key", "rep"])
+        at = np.cumsum(new) - 1
+        keep = mixed[at] & (np.r_[beside, False] | np.r_[False, beside])
+        name = np.add.reduceat(np.where(keep, _scattered(rep), np.uint64(0)), start).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(name[at[keep]], pa.int64()), pa.array(rep[keep], pa.int64())], names=["key", "rep"])
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """A hash of each number."""
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(times)
+    return x ^ x >> np.uint64(31)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (which, key, c, d, mine, n, rep, component, m0 .. m7) sorted by list and n, all pairs of different components that can be similar."""
+    """Of rows (which, key, c, d, mine, n, rep, component, m0 .. m7, h0 .. h7) sorted by list and n, all pairs of different components that can be similar.
+
+    h0 .. h7 are the least keys of a class's lists. A pair that has a lesser one in common than its list's meets there, and is left to that list.
+    """
     names = ["a", "b", "ca", "cb"]
 
     def batch_of(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -465,15 +502,20 @@ def _candidates(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterato
         cols = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, y, x), np.where(turn, x, y)
         return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in cols], names=names)
 
-    for which, key, c, d, mine, n, rep, component, *short in _lists(batches):
+    for which, key, c, d, mine, n, rep, component, *more in _lists(batches):
         new = np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
-        maps = np.stack(short, axis=1).view(np.uint64)
+        maps, heads = np.stack(more[: len(SHORT_COLS)], axis=1).view(np.uint64), more[len(SHORT_COLS) :]
 
         def pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
             ok = (component[i] != component[j]) & can_be_similar(n[j] - n[i], n[j] + n[i], similarity) & ((c[i] == d[i]) | (mine[i] != mine[j]))
             i, j = i[ok], j[ok]
             ok = can_be_similar(np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64), n[j] + n[i], similarity)
             i, j = i[ok], j[ok]
+            before = np.zeros(len(i), dtype=bool)
+            for x in heads:
+                for y in heads:
+                    before |= (x[i] == y[j]) & (x[i] < key[i])
+            i, j = i[~before], j[~before]
             return rep[i], rep[j], component[i], component[j]
 
         start = np.flatnonzero(new)
@@ -512,16 +554,21 @@ def _apart(group: DataFrame, texts: DataFrame, known: DataFrame, shingle: int, s
     """(a, b, ca, cb, far): all pairs of classes in different components that can be similar, but for the known links (a, b); group: classes with their components."""
     frequent, counts = _frequent(group, texts, shingle)
     named = group.select("doc_id", "th", "rep", "component")
-    named = small(named, group.count())
-    maps = cut_lineage(_maps(texts, shingle).join(named, ["doc_id", "th"]).drop("doc_id", "th").dropDuplicates(["rep"]))
     # a class that is a component of its own is listed without the component's name, which takes room
     own = F.when(F.col("component") != F.col("rep"), F.col("component")).alias("component")
-    keys = _prefixes(texts, frequent, counts, shingle, similarity).join(named, ["doc_id", "th"]).select(F.explode("keys").alias("key"), "n", "rep", own)
+    keys = _prefixes(texts, frequent, counts, shingle, similarity).join(small(named, group.count()), ["doc_id", "th"]).select(F.explode("keys").alias("key"), "n", "rep", own)
     keys = keys.repartition("key").sortWithinPartitions("key", "n").select("key", F.col("n").cast("long").alias("n"), "rep", F.coalesce("component", "rep").alias("component"))
-    lists = cut_lineage(keys.mapInArrow(lambda it: _mixed(it, similarity), "key long, rep long"))
-    sizes = small(maps.select("rep", "component", "n", *SHORT_COLS), maps.count())
+    lists = cut_lineage(keys.mapInArrow(lambda it: _mixed(it, similarity), "key long, rep long").distinct())
+    heads = lists.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, HEAD).alias("head"))
+    least = [F.coalesce(F.get("head", F.lit(k)), F.lit((1 << 63) - 1)).alias(c) for k, c in enumerate(HEAD_COLS)]
+    listed = cut_lineage(named.join(heads, "rep").select(*named.columns, *least))
+    # only what is in a list gets maps
+    if (n := listed.count()) <= BROADCAST_ROWS:
+        texts = texts.join(small(listed.select("doc_id", "th"), n), ["doc_id", "th"], "left_semi")
+    maps = cut_lineage(_maps(texts, shingle).join(small(listed, n), ["doc_id", "th"]).drop("doc_id", "th").dropDuplicates(["rep"]))
+    sizes = small(maps.drop("wide"), n)
     rows = lists.withColumn("which", F.lit(0)).join(sizes, "rep")
-    pairs = _dealt(rows, chunk, ["n", "rep", "component", *SHORT_COLS]).mapInArrow(lambda it: _candidates(it, similarity), "a long, b long, ca long, cb long")
+    pairs = _dealt(rows, chunk, ["n", "rep", "component", *SHORT_COLS, *HEAD_COLS]).mapInArrow(lambda it: _candidates(it, similarity), "a long, b long, ca long, cb long")
     pairs = pairs.groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb")).join(known, ["a", "b"], "left_anti")
     for end in "ab":
         pairs = pairs.join(maps.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"wide{end}")), end)
