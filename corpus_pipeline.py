@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +22,22 @@ from tilesieve.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Of texts, so many bytes go to a Python worker at once; Spark's own bound of 64 MB is held by each task's buffers and its worker. Results don't depend on it.
+BATCH_BYTES = 4 << 20
 
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage, in a session that then hands over batches of at most that size; its result is computed later, so the setting stays."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_small_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects.
 
@@ -31,6 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(docs)
 
 
+@_in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id: shingles of five words, similarity 0.8 or more.
 
@@ -40,6 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_pivots.keep_one_similar(docs)
 
 
+@_in_small_batches
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of repeated spans.
 
@@ -49,6 +67,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return sentence_spans.remove_repeats(docs)
 
 
+@_in_small_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for.
 
@@ -58,6 +77,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@_in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences.
 

@@ -27,6 +27,14 @@ def test_stages_keep_the_columns(stages):
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "simhash_near_dedup", "substring_dedup", "source_mixing", "best_fit_packing"]
 
 
+def test_stages_hand_over_small_batches(spark):
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([], "doc_id long, text string, source string, n_chars int")
+    for _, f in cp.STAGES[:1]:
+        spark.conf.unset(key)
+        f(spark, docs, "")
+        assert spark.conf.get(key) == str(cp.BATCH_BYTES)
+
+
 def test_quality_keeps_good_documents(spark, stages):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     kept = {r.doc_id for r in stages["quality_rules"].collect()}
