@@ -267,22 +267,23 @@ def rle_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_tiles(spark: SparkSession, sf_dir: str, z: int = 4) -> DataFrame:
-    """The events as vector tiles (tile_id, z, x, y, data): points in layers by type, with all of their tags."""
+    """The events as vector tiles (tile_id, z, x, y, data): points in layers by type, with all of their tags.
+
+    Rows are dealt and sorted as they are in the table and encoded as they come; partitions hold ascending, disjoint ranges of ids.
+    """
     x, y = spatial.tile_of(F.col("lon"), F.col("lat"), z)
     fx, fy = spatial.tile_coordinates(F.col("lon"), F.col("lat"), z)
     f = features(spark, sf_dir).withColumns({"x": x, "y": y, "px": F.round((fx - x) * mvt.EXTENT).cast("long"), "py": F.round((fy - y) * mvt.EXTENT).cast("long")})
+    ids = F.lit([pmtiles.tile_id(z, i, j) for i in range(2**z) for j in range(2**z)])  # a fold over bits for each event would take longer than the rest
+    f = f.withColumn("tile_id", F.get(ids, F.col("x") * 2**z + F.col("y")).cast("long")).repartitionByRange("tile_id").sortWithinPartitions("tile_id", "event_type", "event_id")
     zig = lambda c: F.when(c >= 0, c * 2).otherwise(-c * 2 - 1)
     kinds = dict(p.split(":") for p in V.MVT_VALUE[7:-1].replace("decimal(20,0)", "decimal").split(","))
     value = lambda slot, c: F.struct(*((F.col(c) if n == slot else F.lit(None)).cast(kind if kind != "decimal" else "decimal(20,0)").alias(n) for n, kind in kinds.items()))
     tag = lambda slot, c: F.struct(F.lit(c).alias("key"), value(slot, c).alias("value"))
     slots = {"event_type": "string_value", "user_id": "uint_value", "value": "double_value", "k": "sint_value", "big": "bool_value", "opt_k": "int_value", "opt_name": "string_value"}
     tags = F.map_from_entries(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), tag(s, c)) for c, s in slots.items()))))
-    one = F.struct(F.col("event_id").cast("decimal(20,0)").alias("id"), F.lit(mvt.POINT).alias("kind"), F.array(F.lit(mvt.MOVE_TO | 1 << 3).cast("long"), zig(F.col("px")), zig(F.col("py"))).alias("geometry"), tags.alias("tags"), F.array().cast("array<int>").alias("masks"))
-    layers = f.groupBy("x", "y", "event_type").agg(F.collect_list(one).alias("fs"))
-    layer = F.struct(F.col("event_type").alias("name"), F.lit(2).alias("version"), F.lit(mvt.EXTENT).alias("extent"), F.col("fs").alias("features"))
-    packed = layers.groupBy("x", "y").agg(F.array_sort(F.collect_list(layer), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)).alias("layers"))
-    keyed = packed.select(pmtiles.zxy_columns(F.lit(z), F.col("x"), F.col("y")).alias("tile_id"), F.lit(z).alias("z"), "x", "y", "layers")
-    return tiles.encode_tiles(keyed)
+    shape = F.array(F.lit(mvt.MOVE_TO | 1 << 3).cast("long"), zig(F.col("px")), zig(F.col("py")))
+    return tiles.encode_features(f.select("tile_id", F.lit(z).alias("z"), "x", "y", F.col("event_type").alias("layer"), F.col("event_id").cast("decimal(20,0)").alias("id"), F.lit(mvt.POINT).alias("kind"), shape.alias("geometry"), tags.alias("tags")))
 
 
 def _ids(filtered: DataFrame) -> DataFrame:
@@ -310,9 +311,10 @@ def tile_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def empty_layers_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers and tiles of which no feature stays are kept."""
     rules = collection((WORLD, {"view": {"feature": True}, "click": {"feature": [">=", T("k"), 20]}}))
-    kept = tiles.decode_tiles(tiles.filter_tiles(event_tiles(spark, sf_dir), rules)).select(F.explode("layers").alias("l"))
-    n = F.size("l.features")
-    return kept.groupBy(F.col("l.name").alias("layer")).agg(F.count("*").alias("n_tiles"), F.sum(n).alias("n_features"), F.count_if(n == 0).alias("n_empty"))
+    kept = tiles.decode_tiles(tiles.filter_tiles(event_tiles(spark, sf_dir), rules)).select("tile_id", "layer_no", F.posexplode("layers").alias("at", "l"))
+    whole = kept.groupBy("tile_id", (F.col("layer_no") + F.col("at")).alias("no"), F.col("l.name").alias("layer")).agg(F.sum(F.size("l.features")).alias("n"))
+    n = F.col("n")
+    return whole.groupBy("layer").agg(F.count("*").alias("n_tiles"), F.sum(n).alias("n_features"), F.count_if(n == 0).alias("n_empty"))
 
 
 TILE_RULES = ((RECT, {"*": {"feature": ["in", T("event_type"), ["literal", ["click", "error"]]], "tag": ["==", ["key"], "opt_name"]}}), (WORLD, {"view": {"feature": ["<", T("k"), 50], "tag": ["all", ["==", ["key"], "user_id"], [">", T("value"), 100]]}}))
