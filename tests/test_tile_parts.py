@@ -1,7 +1,7 @@
 """Tiles of any size are decoded, filtered and encoded in parts of a bounded size."""
 
 import os
-import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +89,24 @@ def test_events_are_not_gathered(spark):
     assert "collect_list" not in plan and "Aggregate" not in plan
     ids = [r.tile_id for r in Q.event_tiles(spark, SF).select("tile_id").collect()]
     assert ids == sorted(set(ids))
+
+
+def test_archives_pass_tiles_in_bounded_batches(tmp_path):
+    path, size, n = f"{tmp_path}/a.pmtiles", 1 << 20, 24
+    source = [pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([os.urandom(size)], pa.binary())], names=["tile_id", "data"]) for k in range(n)]
+    writer = pmtiles.Writer({"path": path, "header": '{"tile_compression": 1}'}, True)
+    tracemalloc.start()
+    segment = writer.write(iter(source))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * size and len(segment.entries) == n
+    writer.commit([segment])
+    reader = pmtiles.Reader({"path": path})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sum(b.num_rows for b in batches) == n and max(b.nbytes for b in batches) <= pmtiles.BATCH_BYTES + 2 * size
+
+
+def test_a_repeated_tile_is_stored_once(tmp_path):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([b"a", b"b", b"a", b"a"], pa.binary())], names=["tile_id", "data"])
+    entries = pmtiles.Writer({"path": f"{tmp_path}/b.pmtiles", "header": '{"tile_compression": 1}'}, True).write(iter([batch])).entries
+    assert entries == [pmtiles.Entry(0, 0, 1, 1), pmtiles.Entry(1, 1, 1, 1), pmtiles.Entry(2, 0, 1, 2)]

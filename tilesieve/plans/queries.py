@@ -344,7 +344,7 @@ def _shared_folder(spark: SparkSession) -> str:
 def pmtiles_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _shared_folder(spark)
     header = pmtiles.Header(min_zoom=4, max_zoom=4)
-    pmtiles.write_archive(event_tiles(spark, sf_dir), f"{top}/in.pmtiles", header, apply_overrides("{}", name="events"))
+    pmtiles.write_archive(event_tiles(spark, sf_dir), f"{top}/in.pmtiles", header, apply_overrides("{}", name="events"), ordered=True)
     pmtiles.write_archive(tiles.filter_tiles(pmtiles.read_archive(spark, f"{top}/in.pmtiles"), collection(*TILE_RULES)), f"{top}/out.pmtiles", pmtiles.read_header(f"{top}/in.pmtiles"), pmtiles.read_metadata(f"{top}/in.pmtiles"), ordered=True)
     return _ids(pmtiles.read_archive(spark, f"{top}/out.pmtiles"))
 
@@ -358,7 +358,7 @@ def archive_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header, metadata and directory of an archive, as they are read back."""
     path = f"{_shared_folder(spark)}/in.pmtiles"
     header = pmtiles.Header(min_zoom=4, max_zoom=4, min_lon=-10.5, min_lat=-20.25, max_lon=30.125, max_lat=40.0)
-    pmtiles.write_archive(event_tiles(spark, sf_dir), path, header, apply_overrides('{"name": "old"}', name="events", description="all of them"))
+    pmtiles.write_archive(event_tiles(spark, sf_dir), path, header, apply_overrides('{"name": "old"}', name="events", description="all of them"), ordered=True)
     entries = pmtiles.read_entries(path)
     found = pmtiles.header_frame(spark, path).select("tile_type", "tile_compression", "min_zoom", "max_zoom", "min_lon", "min_lat", "max_lon", "max_lat", F.from_json("metadata", "name string, description string").alias("m"))
     counts = F.lit(sum(e.run_length for e in entries)).cast("long").alias("n_tiles"), F.lit(len(entries)).cast("long").alias("n_entries")

@@ -9,6 +9,7 @@ and the commit joins the segments in order of their tiles.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import json
 import os
@@ -19,9 +20,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any, BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Fixed values of the format.
 MAGIC, VERSION, HEADER_BYTES, ROOT_BYTES = b"PMTiles", 3, 127, 16_384
@@ -30,6 +32,9 @@ MVT = 1
 
 SCHEMA = "tile_id long, z int, x int, y int, data binary"
 
+#: Bytes and tiles of a batch that is read; a tile that is larger is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+
 #: Entries of a leaf directory; with no more in all, there is the root alone.
 LEAF_ENTRIES = 4096
 
@@ -260,13 +265,26 @@ class Reader(DataSourceReader):
             size += e.length * tiles
         return [Range(x) for x in out]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
         with open(self.path, "rb") as f:
             for e in partition.entries:
                 f.seek(self.header.sections[6] + e.offset)
                 data = decompress(f.read(e.length), self.header.tile_compression)
                 for i in range(e.tile_id, e.tile_id + e.run_length):
-                    yield (i, *tile_zxy(i), data)
+                    rows.append((i, *tile_zxy(i), data))
+                    size += len(data)
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield _batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"tile_id": pa.int64(), "z": pa.int32(), "x": pa.int32(), "y": pa.int32(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
 
 @dataclass
@@ -277,7 +295,7 @@ class Segment(WriterCommitMessage):
     entries: list[Entry]
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """Tiles must be range-partitioned and sorted by tile_id, as write_archive does."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
@@ -293,29 +311,29 @@ class Writer(DataSourceWriter):
         self.staging = f"{self.path}.{uuid.uuid4().hex}.parts"
         self.compressed = options.get("compressed", "false") == "true"
 
-    def write(self, rows: Iterator[Any]) -> Segment:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Segment:
         os.makedirs(self.staging, exist_ok=True)
         path = f"{self.staging}/{uuid.uuid4().hex}"
         entries: list[Entry] = []
-        seen: dict[bytes, tuple[int, int]] = {}
+        seen: dict[bytes, int] = {}  # by digest: contents themselves would be as large as the archive
         at = 0
         with open(path, "wb") as f:
-            for row in rows:
-                data = bytes(row["data"])
+            for number, data in ((i.as_py(), d.as_py()) for batch in iterator for i, d in zip(batch.column("tile_id"), batch.column("data"))):
                 data = data if self.compressed else compress(data, self.header.tile_compression)
-                if data in seen:
-                    offset = seen[data][0]
+                mark = hashlib.blake2b(data, digest_size=32).digest()
+                if mark in seen:
+                    offset = seen[mark]
                 else:
                     offset, at = at, at + len(data)
                     f.write(data)
                     if len(seen) > 1000:
                         seen.clear()
-                    seen[data] = (offset, len(data))
+                    seen[mark] = offset
                 last = entries[-1] if entries else None
-                if last and last.offset == offset and last.tile_id + last.run_length == row["tile_id"]:
+                if last and last.offset == offset and last.tile_id + last.run_length == number:
                     entries[-1] = replace(last, run_length=last.run_length + 1)
                 else:
-                    entries.append(Entry(row["tile_id"], offset, len(data), 1))
+                    entries.append(Entry(number, offset, len(data), 1))
         return Segment(path, entries)
 
     def commit(self, messages: list[Segment | None]) -> None:
